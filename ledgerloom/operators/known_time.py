@@ -53,6 +53,13 @@ class Forest:
         self.keys = self.codes * (len(self.times) + 1) + np.searchsorted(self.times, self.valid)
         self.first = np.searchsorted(self.codes, np.arange(len(self.names)))
 
+    @classmethod
+    def of(cls, state: dict) -> Forest:
+        """A forest of the state that vars() gives."""
+        forest = cls.__new__(cls)
+        vars(forest).update(state)
+        return forest
+
     def lookup(self, entity: pa.Array, moment: np.ndarray) -> np.ndarray:
         """Positions in ``ids``: of the keys known at the moment, the greatest of the entity not after it; -1 for none."""
         if not len(self.codes):
@@ -126,10 +133,10 @@ def known_at(events: DataFrame, history: DataFrame, event_id: str, entity: str,
     schema = f"event {dict(asked.dtypes)['event']}, observation {dict(told.dtypes)['observation']}"
     small = told.limit(forest_rows + 1).toArrow()
     if small.num_rows <= forest_rows:
-        shared = events.sparkSession.sparkContext.broadcast(_forest(small))
+        shared = events.sparkSession.sparkContext.broadcast(vars(_forest(small)))
 
         def search(batches):
-            forest = shared.value
+            forest = Forest.of(shared.value)
             for batch in batches:
                 yield from _matched(forest, batch).to_batches()
 
