@@ -7,6 +7,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
+from .spread import spread_join
+
 # Signs of an expression besides the characters that stand for themselves. Letters and digits never stand for themselves.
 UPPER, LOWER, LETTER, DIGIT, SPACE = "A", "a", "b", "9", " "
 AGAIN, ABSENT, ABOUT, ZERO, WORD, NUMBER, OPEN, CLOSE, LOOSE = (chr(0xE000 + i) for i in range(9))
@@ -25,7 +28,7 @@ ABSENCE = (
 #: Words that may go with them without naming anything.
 SUBJECT = ("manufacturer", "maker", "producer", "company", "supplier", "name", "value", "data", "yet", "is", "the", "at present", "currently", "الشركة", "المصنع")
 #: Fixed value: a JSON object whose values are all numbers in plain digits. Possessive, so that long texts need no stack.
-PLAIN_COUNTS = r"""^[ \t\n\r]*+\{[ \t\n\r]*+(?:"(?:[^"\\\x00-\x1f]|\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4}))*+"[ \t\n\r]*+:[ \t\n\r]*+(?:0|[1-9][0-9]*+)[ \t\n\r]*+(?:,[ \t\n\r]*+"(?:[^"\\\x00-\x1f]|\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4}))*+"[ \t\n\r]*+:[ \t\n\r]*+(?:0|[1-9][0-9]*+)[ \t\n\r]*+)*+)?\}[ \t\n\r]*+$"""
+PLAIN_COUNTS = r"""^[ \t\n\r]*+\{[ \t\n\r]*+(?:"(?:[^"\\\x00-\x1f]|\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4}))*+"[ \t\n\r]*+:[ \t\n\r]*+(?:0|[1-9][0-9]*+)[ \t\n\r]*+(?:,[ \t\n\r]*+"(?:[^"\\\x00-\x1f]|\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4}))*+"[ \t\n\r]*+:[ \t\n\r]*+(?:0|[1-9][0-9]*+)[ \t\n\r]*+)*+)?\}[ \t\n\r]*+\z"""
 
 
 @dataclass(frozen=True)
@@ -101,7 +104,8 @@ def induce(counts: DataFrame, rules: list[Rule]) -> DataFrame:
     (expression in signs) and ``expression`` (as a regular expression), both null for exceptions: nonconforming values.
     """
     distinct = counts.filter(F.col("value").isNotNull()).groupBy("column_name", "value").agg(F.sum("row_count").alias("row_count"))
-    shaped = _bits(_shapes(distinct, rules))
+    # written once: each level of the tree reads it
+    shaped = cut(_bits(_shapes(distinct, rules)))
     sums = lambda *names: [F.sum(n).alias(n) for n in (*names, "members")]
     several = F.max("values").alias("values")
     # 8 bits a sign, 16 an expression, and for each of its values which expression it is
@@ -115,15 +119,15 @@ def induce(counts: DataFrame, rules: list[Rule]) -> DataFrame:
     level_3 = level_2.groupBy("column_name", "shape_3").agg(*sums("best", "bits_3", "bits_4"), several)
     level_3 = level_3.withColumn("cost", code("shape_3", "bits_3")).withColumn("take_3", F.col("cost") < F.col("best")).withColumn("best", F.least("cost", "best"))
     root = level_3.groupBy("column_name").agg(*sums("best", "bits_4")).select("column_name", (F.col("bits_4") + 32.0 < F.col("best")).alias("take_4"))
-    cut = (
+    choice = (
         level_1.select("column_name", "shape_1", "shape_2", "shape_3", "take_1")
         .join(level_2.select("column_name", "shape_2", "shape_3", "take_2"), ["column_name", "shape_2", "shape_3"])
         .join(level_3.select("column_name", "shape_3", "take_3"), ["column_name", "shape_3"])
         .join(root, "column_name")
     )
     sign = F.when(F.col("take_4"), ".*").when(F.col("take_3"), F.col("shape_3")).when(F.col("take_2"), F.col("shape_2")).when(F.col("take_1"), F.col("shape_1"))
-    cut = cut.select("column_name", "shape_1", sign.alias("sign"), _as_regex(sign, F.col("take_4")).alias("expression"))
-    return shaped.select("column_name", "value", "row_count", "shape_1").join(cut, ["column_name", "shape_1"])
+    choice = choice.select("column_name", "shape_1", sign.alias("sign"), _as_regex(sign, F.col("take_4")).alias("expression"))
+    return shaped.select("column_name", "value", "row_count", "shape_1").join(choice, ["column_name", "shape_1"])
 
 
 def _as_regex(sign: Column, anything: Column) -> Column:
@@ -131,7 +135,7 @@ def _as_regex(sign: Column, anything: Column) -> Column:
     text = F.regexp_replace(text, "[Aab9 ]", r"\\$0")  # marks the signs; what follows names them
     for mark, regex in ((r"\\A", r"\p{Lu}"), (r"\\a", r"\p{Ll}"), (r"\\b", r"\p{L}"), (r"\\9", r"\p{N}"), (r"\\ ", r"\s"), (AGAIN, "+"), (ZERO, "0+"), (NUMBER, r"\p{N}+"), (WORD, r"[\p{L}_]+"), (LOOSE, r"\s*"), (OPEN, "(?:"), (CLOSE, ")+"), (ABSENT, "(?:" + "|".join(ABSENCE) + ")"), (ABOUT, "(?:" + "|".join(SUBJECT) + ")")):
         text = F.replace(text, F.lit(mark.replace(r"\\", "\\")), F.lit(regex))
-    return F.when(anything, "(?s).*").otherwise(F.concat(F.lit("^"), text, F.lit("$")))
+    return F.when(anything, "(?s).*").otherwise(F.concat(F.lit("^"), text, F.lit("\\z")))
 
 
 def judged(counts: DataFrame, rules: list[Rule], induced: DataFrame | None = None) -> DataFrame:
@@ -232,7 +236,7 @@ def broken_records(rows: DataFrame, key: str, rules: list[Rule], values: DataFra
 
     The judged values select the rows: only distinct broken values are joined back.
     """
-    bad = values.filter("broken").select(F.col("column_name").alias("bad_column"), F.col("value").alias("bad_value")).distinct()
+    bad = values.filter("broken").groupBy("column_name", "value").agg(F.sum("row_count").alias("row_count"))
     pairs = F.explode(F.array(*[F.struct(F.lit(r.column).alias("column_name"), F.col(r.column).cast("string").alias("value")) for r in rules]))
     each = rows.select(F.col(key).cast("string").alias("record_key"), pairs.alias("pair")).select("record_key", "pair.*")
-    return each.join(bad, (F.col("column_name") == F.col("bad_column")) & F.col("value").eqNullSafe(F.col("bad_value")), "left_semi").select("column_name", "record_key").distinct()
+    return spread_join(each, bad, ["column_name", "value"], "row_count", "left_semi").select("column_name", "record_key").distinct()

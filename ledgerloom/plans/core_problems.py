@@ -23,8 +23,9 @@ POSITION = ["kafka_topic", "kafka_partition", "kafka_offset"]
 
 
 def _judged(spark: SparkSession, folder: str, name: str, rules: list[cp.Rule], load: str | None) -> DataFrame:
-    # read several times by the profile; a written copy also ends the lineage
-    return cut(cp.judged(cp.value_counts(table(spark, folder, name), rules, load), rules))
+    # each is read several times; a written copy also ends the lineage
+    counts = cut(cp.value_counts(table(spark, folder, name), rules, load))
+    return cut(cp.judged(counts, rules))
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
