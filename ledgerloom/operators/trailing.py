@@ -13,7 +13,8 @@ def trailing_totals(records: DataFrame, entity: str, moment: str, amount: str, p
 
     Columns: entity, ``day``, ``day_total``, and per n of ``periods``: ``total_nd`` and ``average_nd`` (the total by n, also
     where fewer than n days lie behind: days before the first are days without activity). Daily sums are made on the map
-    side; a day that has none comes from the entity's calendar; the frames count rows, as every day has one.
+    side; each entity is joined with its calendar laterally, from each active day to the eve of the next, so that no pair
+    outside its span is made and nothing is joined back; the frames count rows, as every day has one.
     Rows with a null entity, moment or amount don't count. With ``record_id``, records delivered again (same id, entity,
     day and amount) count once; records whose id is null are told apart from each other. An empty table gives no rows.
     """
@@ -33,9 +34,8 @@ def trailing_totals(records: DataFrame, entity: str, moment: str, amount: str, p
     return spark.sql(
         f"""
 WITH daily AS (SELECT entity, day, sum(amount) AS day_total FROM ({counted}) GROUP BY entity, day),
-     spans AS (SELECT entity, min(day) AS first_day, max(day) AS last_day FROM daily GROUP BY entity),
-     grid AS (SELECT entity, day FROM spans CROSS JOIN LATERAL explode(sequence(first_day, last_day)) AS calendar(day)),
-     dense AS (SELECT entity, day, coalesce(day_total, 0L) AS day_total FROM grid LEFT JOIN daily USING (entity, day)),
+     spans AS (SELECT entity, day AS active, day_total, coalesce(date_sub(lead(day) OVER (PARTITION BY entity ORDER BY day), 1), day) AS until FROM daily),
+     dense AS (SELECT entity, day, if(day = active, day_total, 0L) AS day_total FROM spans CROSS JOIN LATERAL explode(sequence(active, until)) AS calendar(day)),
      summed AS (SELECT entity, day, day_total, {frames} FROM dense)
 SELECT entity AS {entity}, day, day_total, {totals}, {averages} FROM summed""",
         source=source,
