@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from ..functions.temporal import utc_day_sql, zoned_moment_sql
+from .spread import spread_join
 
 CUTOFF_MS = 72 * 3_600_000
 MS_PER_DAY = 86_400_000
@@ -56,11 +57,7 @@ def beyond_cutoff(records: DataFrame, keys: list[str], group: str = "event_type"
     are treated as in revisions().
     """
     far = f"SELECT * FROM ({_placed(group, keys, occurred_at, recorded_at, cutoff_ms)}) WHERE datediff(arrival_day, event_day) >= {int(cutoff_ms) // MS_PER_DAY}"
-    return records.sparkSession.sql(
-        f"""
-SELECT {", ".join(f"p.{k}" for k in keys)} FROM ({far}) AS p
-LEFT SEMI JOIN (SELECT * FROM ({_cells(far)}) WHERE refused > 0) AS c
-  ON p.series <=> c.series AND p.event_day = c.event_day AND p.arrival_day = c.arrival_day
-WHERE p.beyond""",
-        records=records,
-    )
+    spark = records.sparkSession
+    cells = spark.sql(f"SELECT * FROM ({_cells(far)}) WHERE refused > 0", records=records)
+    late = spark.sql(f"SELECT series, event_day, arrival_day, {', '.join(dict.fromkeys(keys))} FROM ({far}) WHERE beyond", records=records)
+    return spread_join(late, cells.drop("arrived"), ["series", "event_day", "arrival_day"], "refused", "left_semi").select(*keys)
