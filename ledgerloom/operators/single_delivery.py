@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.identity import uuid_bytes
+from .spread import ROWS_A_TASK, spread_join
 
 
 def _ranked(order: list[str]) -> Column:
@@ -24,26 +23,25 @@ def _frequencies(messages: DataFrame, identifier: str, order: list[str], identit
 
 
 def _together(stored: DataFrame, new: DataFrame | None) -> DataFrame:
-    return stored if new is None else reduce(DataFrame.unionByName, [stored, new])
+    return stored if new is None else stored.unionByName(new)
 
 
-def repeated_deliveries(stored: DataFrame, keys: list[str], new: DataFrame | None = None, identifier: str = "event_id", order: list[str] | None = None, identity=uuid_bytes) -> DataFrame:
+def repeated_deliveries(stored: DataFrame, keys: list[str], new: DataFrame | None = None, identifier: str = "event_id", order: list[str] | None = None, identity=uuid_bytes, rows_a_task: int = ROWS_A_TASK) -> DataFrame:
     """``keys`` of every copy but the first of its message.
 
     Identifiers are split by frequency: those that occur once are done and join nothing; only repeated ones are looked up
     for their records, of which the first by ``order`` (nulls last) is the one to keep. ``order`` must tell records apart;
     records alike in all of it are one delivery and are kept or dropped together. Records whose identifier is null, empty or
-    no UUID are messages of their own. The join's build side has one row a repeated identifier; a hot identifier lies on
-    the other side, where AQE splits its partition.
+    no UUID are messages of their own. The records of a hot identifier are spread over tasks of ``rows_a_task``.
     """
     order = order or keys
     keyed, frequent = _frequencies(_together(stored, new), identifier, order, identity)
-    repeated = frequent.filter("copies > 1").select("uid", "first")
-    later = keyed.select("uid", "place").filter(F.col("uid").isNotNull()).join(repeated, "uid").filter(F.col("place") != F.col("first"))
-    return later.select(*[F.col(f"place.{k}").alias(k) for k in keys])
+    repeated = frequent.filter("copies > 1")
+    later = spread_join(keyed.select("uid", "place").filter(F.col("uid").isNotNull()), repeated, ["uid"], "copies", rows_a_task=rows_a_task)
+    return later.filter(F.col("place") != F.col("first")).select(*[F.col(f"place.{k}").alias(k) for k in keys])
 
 
-def single_deliveries(stored: DataFrame, new: DataFrame | None = None, identifier: str = "event_id", order: list[str] | None = None, identity=uuid_bytes) -> DataFrame:
+def single_deliveries(stored: DataFrame, new: DataFrame | None = None, identifier: str = "event_id", order: list[str] | None = None, identity=uuid_bytes, rows_a_task: int = ROWS_A_TASK) -> DataFrame:
     """Whole records, one copy of each message of the stored and the new ones.
 
     Messages whose identifier occurs once pass directly, as do those without a UUID; of the repeated ones the first by
@@ -51,8 +49,9 @@ def single_deliveries(stored: DataFrame, new: DataFrame | None = None, identifie
     """
     messages = _together(stored, new)
     keyed, frequent = _frequencies(messages, identifier, order or ["kafka_timestamp", "kafka_topic", "kafka_partition", "kafka_offset"], identity)
-    repeated = frequent.filter("copies > 1").select("uid", "first")
-    split = keyed.join(repeated, "uid", "left")
+    # a record without identifier gets a key that no UUID has, so that such records don't meet in one partition
+    own = F.concat(F.unhex(F.md5(F.to_json("place"))), F.unhex(F.lit("00")))
+    split = spread_join(keyed.withColumn("uid", F.coalesce("uid", own)), frequent.filter("copies > 1"), ["uid"], "copies", "left", rows_a_task)
     once = split.filter(F.col("first").isNull()).select("row")
     ranked = split.filter(F.col("first").isNotNull() & (F.col("place") == F.col("first"))).select("uid", "row")
     # the place tells copies apart; a record stored twice under one place is still one message
