@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Fixed value: texts that denote a UUID: 32 hexadecimal digits, hyphens, braces, a URN prefix and white space aside.
-UUID_NOTATION = r"(?i)^[\s\x{A0}\x{FEFF}]*(?:urn:uuid:)?[{(]?((?:[0-9a-f]-?){31}[0-9a-f])[)}]?[\s\x{A0}\x{FEFF}]*$"
+UUID_NOTATION = r"(?i)^[\s\x{A0}\x{FEFF}]*(?:urn:uuid:)?[{(]?((?:[0-9a-f]-?){31}[0-9a-f])[)}]?[\s\x{A0}\x{FEFF}]*\z"
 
 
 def uuid_bytes(text: Column | str) -> Column:

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 #: Fixed value: a moment as text with a zone (Z or an offset); whether its parts are possible is left to the cast.
 #: Written without braces, which DataFrame parameters of spark.sql() would take for their own.
-ZONED_MOMENT = r"^\s*\d\d\d\d-\d\d-\d\d[Tt ]\d\d:\d\d(:\d\d([.,]\d+)?)?\s?([Zz]|[+-]\d\d(:?\d\d)?)\s*$"
-OFFSET_END = r"\s?([+-]\d\d):?(\d\d)?\s*$"
+ZONED_MOMENT = r"^\s*\d\d\d\d-\d\d-\d\d[Tt ]\d\d:\d\d(:\d\d([.,]\d+)?)?\s?([Zz]|[+-]\d\d(:?\d\d)?)\s*\z"
+OFFSET_END = r"\s?([+-]\d\d):?(\d\d)?\s*\z"
 MICROS_PER_DAY = 86_400_000_000
 
 
