@@ -1,6 +1,7 @@
 """Registered queries: each takes (spark, folder of tables) and returns a DataFrame; many have SQL that says the same."""
 
-from . import core_problems, core_sql
+from .. import registry
+from . import core_problems, core_sql, event_queries
 
-QUERIES = dict(core_problems.QUERIES)
-ORACLES = dict(core_sql.ORACLES)
+QUERIES = core_problems.QUERIES | registry.QUERIES
+ORACLES = core_sql.ORACLES | registry.ORACLES
