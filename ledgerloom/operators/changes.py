@@ -49,10 +49,11 @@ def restored(json: str, schema: T.StructType) -> Column:
         text = raw[field.name]
         number = text.try_cast("long")
         if isinstance(field.dataType, T.DateType):
-            return F.coalesce(text.try_cast("date"), F.date_from_unix_date(number.cast("int")))
+            # digits alone are days, never a year
+            return F.when(number.isNotNull(), F.date_from_unix_date(number.try_cast("int"))).otherwise(text.try_cast("date"))
         if isinstance(field.dataType, T.TimestampType):
             scaled = F.when(F.abs(number) >= 10**14, F.timestamp_micros(number)).otherwise(F.timestamp_millis(number))
-            return F.coalesce(F.when(text.rlike("^-?[0-9]+$"), F.lit(None).cast("timestamp")).otherwise(text.try_cast("timestamp")), scaled)
+            return F.when(number.isNotNull(), scaled).otherwise(text.try_cast("timestamp"))
         if isinstance(field.dataType, T.BinaryType):
             return F.try_to_binary(text, F.lit("base64"))
         return text.try_cast(field.dataType)
