@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 
 
 def named(text: Column, otherwise: str = "UNKNOWN") -> Column:
-    """The trimmed text, or another where it is null or blank."""
-    return F.coalesce(F.nullif(F.trim(text), F.lit("")), F.lit(otherwise))
+    """The text without white space of any script at its ends, or another text where it is null or blank."""
+    return F.coalesce(F.nullif(F.regexp_replace(text, r"(?U)^\s+|\s+\z", ""), F.lit("")), F.lit(otherwise))
 
 
 def blank(text: Column) -> Column:
-    """Null or nothing but spaces."""
-    return text.isNull() | (F.length(F.trim(text)) == 0)
+    """Null or nothing but white space of any script."""
+    return text.isNull() | text.rlike(r"(?U)^\s*\z")
 
 
 def tidy(text: Column) -> Column:

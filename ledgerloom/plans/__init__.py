@@ -1,7 +1,7 @@
 """Registered queries: each takes (spark, folder of tables) and returns a DataFrame; many have SQL that says the same."""
 
 from .. import registry
-from . import change_queries, core_problems, core_sql, event_queries, feature_queries, relational_queries, serving_queries
+from . import algorithm_queries, change_queries, core_problems, core_sql, event_queries, feature_queries, mart_queries, relational_queries, scalar_queries, serving_queries  # noqa: F401
 
 QUERIES = core_problems.QUERIES | registry.QUERIES
 ORACLES = core_sql.ORACLES | registry.ORACLES

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.identity import hash_unit
 from ..functions.numbers import rate
 from ..functions.temporal import utc_day
+from ..operators.ranking import ranked, tile
 from ..registry import query
 from ..session import table
 
@@ -74,9 +75,9 @@ def jn_08_unit_rows(spark: SparkSession, folder: str) -> DataFrame:
 SELECT h.sale_id, r.branch_id AS drawn_branch_id FROM hashed AS h JOIN ranked AS r ON h.seq = r.seq""")
 def jn_11_ordinal_by_hash(spark: SparkSession, folder: str) -> DataFrame:
     """A branch drawn for each sale: a join of an ordinal computed from a hash with a rank."""
-    ranked = table(spark, folder, "pharmacy_branch").select("branch_id", F.row_number().over(Window.orderBy("branch_code")).alias("seq"))  # 120 rows, fixed
+    branches = table(spark, folder, "pharmacy_branch").select("branch_id", F.row_number().over(Window.orderBy("branch_code")).alias("seq"))  # 120 rows, fixed
     drawn = _one_sale(spark, folder).select("sale_id", (1 + F.least(F.lit(119), F.floor(120 * hash_unit(F.col("sale_id"))))).cast("int").alias("seq"))
-    return drawn.join(ranked, "seq").select("sale_id", F.col("branch_id").alias("drawn_branch_id"))
+    return drawn.join(branches, "seq").select("sale_id", F.col("branch_id").alias("drawn_branch_id"))
 
 
 @query("""WITH d AS (SELECT branch_id, (transaction_ts AT TIME ZONE 'UTC')::DATE AS day, count(*) AS attempts, sum(requested_units)::BIGINT AS requested FROM demand_attempt WHERE branch_id IS NOT NULL AND transaction_ts IS NOT NULL GROUP BY 1, 2),
@@ -206,9 +207,9 @@ def ag_21_order_statistics(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("""WITH p AS (SELECT product_id, sum(net_sales_egp) AS net_sales FROM sale_line WHERE product_id IS NOT NULL GROUP BY 1), q AS (SELECT *, ntile(4) OVER (ORDER BY net_sales, product_id) AS quarter FROM p) SELECT quarter::INT AS quarter, count(*) AS products, min(net_sales) AS least, max(net_sales) AS greatest FROM q GROUP BY 1""")
 def ag_22_quartiles(spark: SparkSession, folder: str) -> DataFrame:
-    """Products in quarters by sales. Products are already folded; their ranking is one sort of product totals."""
+    """Products in quarters by sales, ranked by a range-partitioned sort."""
     totals = _lines(spark, folder).filter("product_id IS NOT NULL").groupBy("product_id").agg(F.sum("net_sales_egp").alias("net_sales"))
-    quarters = totals.withColumn("quarter", F.ntile(4).over(Window.orderBy("net_sales", "product_id")))
+    quarters = ranked(totals, "net_sales", "product_id").withColumn("quarter", tile(F.col("rank"), F.col("rank_count"), 4))
     return quarters.groupBy("quarter").agg(F.count(F.lit(1)).alias("products"), F.min("net_sales").alias("least"), F.max("net_sales").alias("greatest"))
 
 
@@ -233,9 +234,9 @@ def wn_07_running_balance(spark: SparkSession, folder: str) -> DataFrame:
 def wn_14_rank_then_prioritise(spark: SparkSession, folder: str) -> DataFrame:
     """Branches ranked within their governorate; each one's first comes before all others. 120 rows, fixed."""
     inner = F.row_number().over(Window.partitionBy("governorate").orderBy(F.col("demand_index").desc_nulls_last(), "branch_id"))
-    ranked = table(spark, folder, "pharmacy_branch").withColumn("governorate_rank", inner)
+    inside = table(spark, folder, "pharmacy_branch").withColumn("governorate_rank", inner)
     place = F.row_number().over(Window.orderBy((F.col("governorate_rank") == 1).desc(), F.col("demand_index").desc_nulls_last(), "branch_id"))
-    return ranked.select("branch_id", "governorate_rank", place.alias("place"))
+    return inside.select("branch_id", "governorate_rank", place.alias("place"))
 
 
 @query("""SELECT sale_id, sale_line_id, row_number() OVER (PARTITION BY sale_id ORDER BY product_id NULLS LAST, sale_line_id)::INT AS new_line_number FROM (SELECT DISTINCT sale_id, sale_line_id, product_id FROM sale_line WHERE sale_id IS NOT NULL)""")
