@@ -1 +1 @@
-"""Part of the engine; see the modules."""
+"""Streams: envelopes into valid and quarantined batches, ledgers of messages, refreshes of late days, cooldowns."""
