@@ -168,13 +168,23 @@ def judged(counts: DataFrame, rules: list[Rule], induced: DataFrame | None = Non
 
 
 def profile(values: DataFrame, rules: list[Rule]) -> DataFrame:
-    """One row per column and load of ``judged()`` values: aggregates, broken and nonconforming rows, and changes.
+    """One row per column and load of ``judged()`` values: ``load_figures()`` and how expression coverage changed.
+
+    ``shift_before`` and ``shift_overall`` are half the summed differences in coverage from the load before, by label (null
+    for the first), and from all loads.
+    """
+    figures, shifts = load_figures(values, rules), _shifts(values).withColumnRenamed("load", "shift_load")
+    same = (figures["column_name"] == shifts["shift_column"]) & figures["load"].eqNullSafe(shifts["shift_load"])
+    return figures.join(shifts, same, "left").select(*figures.columns, F.round("shift_before", 6).alias("shift_before"), F.round("shift_overall", 6).alias("shift_overall"))
+
+
+def load_figures(values: DataFrame, rules: list[Rule]) -> DataFrame:
+    """One row per column and load of ``judged()`` values: aggregates, broken and nonconforming rows.
 
     Columns: rows, nulls, null share, distinct values, least and greatest value (numbers where the rule has a range, else
     texts), median of unbroken numbers and its ratio to the median load's, rows that break the rule or conform to no
-    expression, the greatest share of one value, ``shift_before`` and ``shift_overall`` (half the summed differences in
-    expression coverage from the load before, by label, and from all loads) and ``out_of_order``. An all-null column has
-    null values, medians and ratios. The median's state holds one entry a distinct number of a load.
+    expression, the greatest share of one value, and ``out_of_order``. An all-null column has null values, medians and
+    ratios. The median's state holds one entry a distinct number of a load.
     """
     numeric = [r.column for r in rules if r.above is not None or r.at_most is not None]
     number = F.col("value").try_cast("decimal(38,6)").cast("double")
@@ -203,8 +213,7 @@ def profile(values: DataFrame, rules: list[Rule]) -> DataFrame:
             checks = checks | (F.col("most_of_one") > F.col("rows") * rule.single_share)
         return F.coalesce(checks, F.lit(False))
 
-    result = full.join(_shifts(values).withColumnRenamed("load", "shift_load"), (full["column_name"] == F.col("shift_column")) & full["load"].eqNullSafe(F.col("shift_load")), "left")
-    return result.select("column_name", "load", "rows", "null_rows", F.round(share("null_rows"), 6).alias("null_share"), "distinct_values", "least", "greatest", "median", F.round("level", 6).alias("level"), "broken_rows", "nonconforming_rows", F.round(share("most_of_one"), 6).alias("single_share"), F.round("shift_before", 6).alias("shift_before"), F.round("shift_overall", 6).alias("shift_overall"), _per_rule(rules, wrong, F.lit(False)).alias("out_of_order"))
+    return full.select("column_name", "load", "rows", "null_rows", F.round(share("null_rows"), 6).alias("null_share"), "distinct_values", "least", "greatest", "median", F.round("level", 6).alias("level"), "broken_rows", "nonconforming_rows", F.round(share("most_of_one"), 6).alias("single_share"), _per_rule(rules, wrong, F.lit(False)).alias("out_of_order"))
 
 
 def coverage(values: DataFrame) -> DataFrame:
