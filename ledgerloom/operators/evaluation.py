@@ -15,7 +15,7 @@ def regression_metrics(rows: DataFrame, truth: str, prediction: str, group: list
         F.round(1.0 - F.try_divide(F.sum(error * error), F.var_pop(y) * F.count(F.lit(1))), 6).alias("r2"),
         F.round(F.sum(error) / F.greatest(F.sum(F.abs(y)), F.lit(1.0)), 6).alias("wape"),
         F.round(F.avg(2.0 * error / F.greatest(F.abs(y) + F.abs(p), F.lit(1e-9))), 6).alias("smape"),
-        F.round(F.percentile(error, F.lit(0.5)), 6).alias("median_error"), F.round(F.percentile(error, F.lit(0.9)), 6).alias("p90_error"), F.round(F.avg(p - y), 6).alias("bias"),
+        F.round(F.percentile(error, F.lit(0.5)), 6).alias("median_error"), F.round(F.percentile(error, F.lit(0.9)), 6).alias("p90_error"), (F.round(F.avg(p - y), 6) + 0.0).alias("bias"),
     )
 
 

@@ -45,7 +45,7 @@ def _forecasts(spark: SparkSession, folder: str) -> DataFrame:
     return daily.join(means, "product_id")
 
 
-@query(f"WITH {_DAYS} SELECT count(*) AS n, round(avg(err), 6) AS mae, round(sqrt(avg(err * err)), 6) AS rmse, round(1 - sum(err * err) / (var_pop(y) * count(*)), 6) AS r2, round(sum(err) / greatest(sum(abs(y)), 1), 6) AS wape, round(avg(2 * err / greatest(abs(y) + abs(p), 1e-9)), 6) AS smape, round(median(err), 6) AS median_error, round(quantile_cont(err, 0.9), 6) AS p90_error, round(avg(p - y), 6) AS bias FROM e")
+@query(f"WITH {_DAYS} SELECT count(*) AS n, round(avg(err), 6) AS mae, round(sqrt(avg(err * err)), 6) AS rmse, round(1 - sum(err * err) / (var_pop(y) * count(*)), 6) AS r2, round(sum(err) / greatest(sum(abs(y)), 1), 6) AS wape, round(avg(2 * err / greatest(abs(y) + abs(p), 1e-9)), 6) AS smape, round(median(err), 6) AS median_error, round(quantile_cont(err, 0.9), 6) AS p90_error, round(avg(p - y), 6) + 0.0 AS bias FROM e")
 def alg_20_regression_metrics(spark: SparkSession, folder: str) -> DataFrame:
     """Errors of each product's average as a forecast of its days."""
     return regression_metrics(_forecasts(spark, folder), "y", "p")
