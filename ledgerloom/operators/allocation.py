@@ -5,28 +5,38 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .running import along
 
-def from_lots(requests: DataFrame, lots: DataFrame, keys: list[str], request_order: list[str], lot_order: list[str], request_id: str, lot_id: str, request_units: str, lot_units: str) -> DataFrame:
-    """(request, lot, units): requests served in order from lots in order, each lot used up before the next.
+
+def from_lots(requests: DataFrame, lots: DataFrame, keys: list[str], request_order: list[str], lot_order: list[str], request_id: str, lot_id: str, request_units: str, lot_units: str, stretch: int = 100_000) -> DataFrame:
+    """(keys, request, lot, units): requests served in order from lots in order, each lot used up before the next.
 
     Running totals turn requests and lots of a key into intervals on one line, and a pair shares what its intervals have
-    in common. The borders of both are merged in order and every stretch between two borders belongs to the request and
-    lot that end next, so no pairs are tried: one sort a key. What lots don't cover isn't shared out.
-    Rows with null or no units are left out; equal places are decided by the ids.
+    in common. The line is cut into stretches of ``stretch`` units, which hold at most that many requests and lots and are
+    worked on apart, so that a key with most rows has many tasks; in a stretch the borders of both are merged in order and
+    what lies between two borders belongs to the request and lot that end next. No pairs are tried. What lots don't cover
+    isn't shared out. Rows with null or no units are left out; equal places are decided by the ids.
     """
-    interval = lambda order, own, units: F.sum(units).over(Window.partitionBy(*keys).orderBy(*order, own).rowsBetween(Window.unboundedPreceding, 0))
-    asked = requests.filter(F.col(request_units) > 0).select(*keys, interval(request_order, request_id, request_units).alias("until"), F.col(request_id).alias("request"), F.lit(None).alias("lot"))
-    held = lots.filter(F.col(lot_units) > 0).select(*keys, interval(lot_order, lot_id, lot_units).alias("until"), F.lit(None).alias("request"), F.col(lot_id).alias("lot"))
-    borders = asked.unionByName(held)
-    line = Window.partitionBy(*keys).orderBy("until", F.col("request").isNull(), "request", "lot")
+
+    def intervals(rows: DataFrame, order: list[str], own: str, units: str, name: str) -> DataFrame:
+        known = rows.filter(F.col(units) > 0).select(*keys, *order, F.col(own).alias("own"), F.col(units).cast("long").alias("own_units"))
+        ends = along(known, keys, [*order, "own"], {"until": F.col("own_units")}).withColumn("since", F.col("until") - F.col("own_units"))
+        cells = F.sequence(F.floor(F.col("since") / stretch), F.floor((F.col("until") - 1) / stretch))
+        pieces = ends.withColumn("cell", F.explode(cells))
+        other = "lot" if name == "request" else "request"
+        return pieces.select(*keys, "cell", F.least("until", (F.col("cell") + 1) * stretch).alias("until"), F.col("own").alias(name), F.lit(None).alias(other))
+
+    borders = intervals(requests, request_order, request_id, request_units, "request").unionByName(intervals(lots, lot_order, lot_id, lot_units, "lot"))
+    line = Window.partitionBy(*keys, "cell").orderBy("until", F.col("request").isNull(), "request", "lot")
     later = line.rowsBetween(0, Window.unboundedFollowing)
     parts = borders.withColumns({
-        "since": F.coalesce(F.lag("until").over(line), F.lit(0).cast("long")),
+        "since": F.coalesce(F.lag("until").over(line), F.col("cell") * stretch),
         "request": F.first("request", ignorenulls=True).over(later),
         "lot": F.first("lot", ignorenulls=True).over(later),
     })
-    whole = parts.filter("request IS NOT NULL AND lot IS NOT NULL").withColumn("units", F.col("until") - F.col("since")).filter("units > 0")
-    return whole.select(*keys, F.col("request").alias(request_id), F.col("lot").alias(lot_id), "units")
+    shared = parts.filter("request IS NOT NULL AND lot IS NOT NULL AND until > since")
+    whole = shared.groupBy(*keys, F.col("request").alias(request_id), F.col("lot").alias(lot_id))
+    return whole.agg(F.sum(F.col("until") - F.col("since")).alias("units"))
 
 
 def largest_remainder(weights: DataFrame, key: str, weight: str, total: int, least: int = 0, group: list[str] | None = None) -> DataFrame:

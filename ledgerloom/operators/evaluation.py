@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -69,3 +71,63 @@ def time_split(rows: DataFrame, day: str, embargo_days: int, train: float = 0.6,
         .otherwise("purged")
     )
     return rows.join(F.broadcast(borders)).withColumn("part", part).drop("train_end", "validation_end")
+
+
+def bootstrap_gain(rows: DataFrame, row_id: str, gain: str, repetitions: int = 200, seed: int = 42) -> DataFrame:
+    """Mean of ``gain`` with the 2.5 and 97.5 percent points of its bootstrap, as one row.
+
+    Each row has a Poisson weight for each repetition, drawn from its id and the seed, so that tasks draw apart, results
+    repeat, and only a sum and a weight a repetition and task are gathered.
+    """
+    known = rows.filter(F.col(gain).isNotNull()).select(F.xxhash64(F.col(row_id), F.lit(seed)).alias("h"), F.col(gain).cast("double").alias("gain"))
+    steps = np.cumsum([np.exp(-1.0) / float(np.prod(np.arange(1, k + 1))) for k in range(12)])
+
+    def partial(batches):
+        sums = np.zeros((2, repetitions))
+        mixed = (np.arange(1, repetitions + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[None, :]
+        for batch in batches:
+            values = batch["gain"].to_numpy()
+            for at in range(0, len(values), 4096):
+                h = batch["h"].to_numpy()[at : at + 4096].astype(np.int64).view(np.uint64)[:, None] ^ mixed
+                h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+                h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+                weight = np.searchsorted(steps, (h >> np.uint64(11)).astype(np.float64) / 2.0**53)
+                sums[0] += values[at : at + 4096] @ weight
+                sums[1] += weight.sum(axis=0)
+        yield pd.DataFrame({"repetition": np.arange(repetitions), "total": sums[0], "weight": sums[1]})
+
+    each = known.mapInPandas(partial, "repetition int, total double, weight double").groupBy("repetition").agg((F.sum("total") / F.sum("weight")).alias("mean"))
+    ends = each.agg(F.percentile("mean", F.lit(0.025)).alias("low"), F.percentile("mean", F.lit(0.975)).alias("high"))
+    return known.agg(F.avg("gain").alias("mean_gain")).join(ends)  # one row each
+
+
+def best_blend(rows: DataFrame, truth: str, model: str, baseline: str, steps: int = 20) -> DataFrame:
+    """The share of the model in a mix with a baseline that has the least mean absolute error, and that error; one pass."""
+    y, m, b = (F.col(c).cast("double") for c in (truth, model, baseline))
+    errors = rows.filter(y.isNotNull() & m.isNotNull() & b.isNotNull()).agg(*[F.avg(F.abs(y - (m * (k / steps) + b * (1 - k / steps)))).alias(f"e{k}") for k in range(steps + 1)])
+    each = F.array(*[F.struct(F.round(f"e{k}", 9).alias("error"), F.lit(k / steps).alias("share")) for k in range(steps + 1)])
+    return errors.select(F.array_min(each).alias("best")).select("best.share", "best.error")
+
+
+def boosted_trees(labelled: DataFrame, features: list[str], label: str, most_rows: int = 200_000, classify: bool = False, rounds: int = 20, seed: int = 42):
+    """A gradient-boosted tree model with its features assembled; fitted on at most about ``most_rows`` rows by their hash.
+
+    The bound is the only sampling: the model then scores any number of rows. ``classify`` adds a logistic calibration of
+    the trees' margin (Platt), fitted on the rows that the trees didn't see.
+    """
+    from pyspark.ml import Pipeline, PipelineModel
+    from pyspark.ml.classification import GBTClassifier, LogisticRegression
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import GBTRegressor
+
+    known = labelled.dropna(subset=[*features, label]).withColumn(label, F.col(label).cast("double"))
+    n = known.count()
+    if n > most_rows:
+        known = known.filter(F.pmod(F.xxhash64(*features), F.lit(1_000_000)) < int(1_000_000 * most_rows / n))
+    assembler = VectorAssembler(inputCols=features, outputCol="features")
+    if not classify:
+        return Pipeline(stages=[assembler, GBTRegressor(labelCol=label, maxIter=rounds, seed=seed)]).fit(known)
+    seen = F.pmod(F.xxhash64(*features, F.lit(seed)), F.lit(10)) < 8
+    trees = Pipeline(stages=[assembler, GBTClassifier(labelCol=label, maxIter=rounds, seed=seed, predictionCol="leaning").setRawPredictionCol("margin").setProbabilityCol("uncalibrated")]).fit(known.filter(seen))
+    calibration = LogisticRegression(featuresCol="margin", labelCol=label).fit(trees.transform(known.filter(~seen)))
+    return PipelineModel(stages=[*trees.stages, calibration])

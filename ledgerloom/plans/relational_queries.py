@@ -9,6 +9,7 @@ from ..functions.identity import hash_unit
 from ..functions.numbers import rate
 from ..functions.temporal import utc_day
 from ..operators.ranking import ranked, tile
+from ..operators.running import along
 from ..registry import query
 from ..session import table
 
@@ -224,10 +225,12 @@ def ag_24_source_sets(spark: SparkSession, folder: str) -> DataFrame:
 @query("""SELECT sale_line_id, branch_sales, running_units FROM (SELECT sale_line_id, count(*) OVER (PARTITION BY product_id, created_at) AS branch_sales,
   sum(quantity) OVER (PARTITION BY product_id, (created_at AT TIME ZONE 'UTC')::DATE ORDER BY created_at, sale_line_id, sale_id, line_number ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)::BIGINT AS running_units FROM (SELECT DISTINCT sale_line_id, sale_id, line_number, product_id, quantity, created_at FROM sale_line WHERE product_id IS NOT NULL))""")
 def wn_07_running_balance(spark: SparkSession, folder: str) -> DataFrame:
-    """Units sold of each product so far on its day, line by line. The day bounds a window that a hot product would fill."""
-    lines = _lines(spark, folder).filter("product_id IS NOT NULL").select("sale_line_id", "sale_id", "line_number", "product_id", "quantity", "created_at").distinct()
-    line = Window.partitionBy("product_id", utc_day("created_at")).orderBy("created_at", "sale_line_id", "sale_id", "line_number").rowsBetween(Window.unboundedPreceding, 0)
-    return lines.select("sale_line_id", F.count(F.lit(1)).over(Window.partitionBy("product_id", "created_at")).alias("branch_sales"), F.sum("quantity").over(line).alias("running_units"))
+    """Units sold of each product so far on its day, line by line; a product with most lines of a day has many tasks."""
+    lines = _lines(spark, folder).filter("product_id IS NOT NULL").select("sale_line_id", "sale_id", "line_number", "product_id", "quantity", "created_at").distinct().withColumn("day", utc_day("created_at"))
+    running = along(lines, ["product_id", "day"], ["created_at", "sale_line_id", "sale_id", "line_number"], {"running_units": F.col("quantity")})
+    together = lines.groupBy(F.col("product_id").alias("p"), F.col("created_at").alias("c")).agg(F.count(F.lit(1)).alias("branch_sales"))
+    joined = running.join(together, (F.col("product_id") == F.col("p")) & F.col("created_at").eqNullSafe(F.col("c")))
+    return joined.select("sale_line_id", "branch_sales", "running_units")
 
 
 @query("""SELECT branch_id, governorate_rank::INT AS governorate_rank, place::INT AS place FROM (SELECT *, row_number() OVER (ORDER BY governorate_rank = 1 DESC, demand_index DESC NULLS LAST, branch_id) AS place FROM (SELECT branch_id, demand_index, row_number() OVER (PARTITION BY governorate ORDER BY demand_index DESC NULLS LAST, branch_id) AS governorate_rank FROM pharmacy_branch))""")

@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.running import along
+
 
 def alerts(events: DataFrame, key: str, moment: str, rank: str, event_id: str, seconds: int) -> DataFrame:
     """Events that alert: the first of a key, those of a greater rank than the last alert, and those ``seconds`` after it.
@@ -17,9 +19,9 @@ def alerts(events: DataFrame, key: str, moment: str, rank: str, event_id: str, s
     alert as the only state. Ties go by id. Rows with a null key, moment or rank never alert.
     """
     known = events.select(F.col(key).alias("key"), F.col(moment).alias("moment"), F.col(rank).cast("int").alias("rank"), F.col(event_id).alias("event_id")).dropna()
-    line = Window.partitionBy("key").orderBy("moment", "event_id")
-    paused = F.coalesce(F.unix_micros("moment") - F.lag(F.unix_micros("moment")).over(line) >= seconds * 1_000_000, F.lit(True))
-    stretches = known.withColumn("stretch", F.sum(F.when(paused, 1).otherwise(0)).over(line.rowsBetween(Window.unboundedPreceding, 0)))
+    before = along(known, ["key"], ["moment", "event_id"], previous={"before": F.col("moment")})
+    paused = F.coalesce(F.unix_micros("moment") - F.unix_micros("before") >= seconds * 1_000_000, F.lit(True))
+    stretches = along(before.withColumn("pause", F.when(paused, 1).otherwise(0)), ["key"], ["moment", "event_id"], {"stretch": F.col("pause")})
     sorted_rows = stretches.repartition("key", "stretch").sortWithinPartitions("key", "stretch", "moment", "event_id")
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
