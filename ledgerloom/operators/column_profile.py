@@ -21,12 +21,12 @@ ABSENCE = (
     "no (?:value|data|name|info|information|manufacturer|maker|producer|company|entry)",
     "unknown", "unkn?", "unspecified", "unstated", "undefined", "undetermined", "undisclosed", "unavailable", "unnamed", "unidentified", "unassigned", "not?hing",
     "none", "null", "nil", "nan", "missing", "absent", "blank", "empty", "pending", "void", "default", "dummy", "placeholder", "test", "sample",
-    r"n\W?\s?[akds]\W?", r"t\W?b\W?[dcasn]\W?", "x{2,}", "y{3,}", "z{3,}", r"k\W?\s?a\W?",
-    "unbekannt", "keine angabe", "inconnue?", "non (?:connu|disponible|renseigné)", "desconocid[oa]", "no (?:disponible|aplica)", "sin datos",
+    r"n\W?\s?[akds]\W?", r"u\W\s?k\W?", r"t\W?b\W?[dcasn]\W?", "x{2,}", "y{3,}", "z{3,}", r"k\W\s?a\W?",
+    "not yet", "awaiting (?:confirmation|data|information|details)", "unlisted", "unregistered", "unbekannt", "keine angabe", "inconnue?", "non (?:connu|disponible|renseigné)", "desconocid[oa]", "no (?:disponible|aplica)", "sin datos",
     "غير (?:معروف|محدد|متوفر|متاح|معلوم|مسجل)", "لا يوجد", "مجهول",
 )
 #: Words that may go with them without naming anything.
-SUBJECT = ("manufacturer", "maker", "producer", "company", "supplier", "name", "value", "data", "yet", "is", "the", "at present", "currently", "الشركة", "المصنع")
+SUBJECT = ("manufacturer", "maker", "producer", "company", "supplier", "vendor", "brand", "mfg", "mfr", "name", "value", "data", "details", "information", "yet", "is", "the", "at present", "currently", "الشركة", "المصنع")
 #: Fixed value: a JSON object whose values are all numbers in plain digits. Possessive, so that long texts need no stack.
 PLAIN_COUNTS = r"""^[ \t\n\r]*+\{[ \t\n\r]*+(?:"(?:[^"\\\x00-\x1f]|\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4}))*+"[ \t\n\r]*+:[ \t\n\r]*+(?:0|[1-9][0-9]*+)[ \t\n\r]*+(?:,[ \t\n\r]*+"(?:[^"\\\x00-\x1f]|\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4}))*+"[ \t\n\r]*+:[ \t\n\r]*+(?:0|[1-9][0-9]*+)[ \t\n\r]*+)*+)?\}[ \t\n\r]*+\z"""
 
@@ -120,14 +120,15 @@ def induce(counts: DataFrame, rules: list[Rule]) -> DataFrame:
     level_3 = level_3.withColumn("cost", code("shape_3", "bits_3")).withColumn("take_3", F.col("cost") < F.col("best")).withColumn("best", F.least("cost", "best"))
     root = level_3.groupBy("column_name").agg(*sums("best", "bits_4")).select("column_name", (F.col("bits_4") + 32.0 < F.col("best")).alias("take_4"))
     choice = (
-        level_1.select("column_name", "shape_1", "shape_2", "shape_3", "take_1")
+        level_1.select("column_name", "shape_1", "shape_2", "shape_3", "take_1", "members")
         .join(level_2.select("column_name", "shape_2", "shape_3", "take_2"), ["column_name", "shape_2", "shape_3"])
         .join(level_3.select("column_name", "shape_3", "take_3"), ["column_name", "shape_3"])
         .join(root, "column_name")
     )
     sign = F.when(F.col("take_4"), ".*").when(F.col("take_3"), F.col("shape_3")).when(F.col("take_2"), F.col("shape_2")).when(F.col("take_1"), F.col("shape_1"))
-    choice = choice.select("column_name", "shape_1", sign.alias("sign"), _as_regex(sign, F.col("take_4")).alias("expression"))
-    return shaped.select("column_name", "value", "row_count", "shape_1").join(choice, ["column_name", "shape_1"])
+    choice = choice.select("column_name", "shape_1", "members", sign.alias("sign"), _as_regex(sign, F.col("take_4")).alias("expression"))
+    # a shape may be that of most values
+    return spread_join(shaped.select("column_name", "value", "row_count", "shape_1"), choice, ["column_name", "shape_1"], "members")
 
 
 def _as_regex(sign: Column, anything: Column) -> Column:

@@ -7,8 +7,8 @@ from ledgerloom.operators import column_profile as cp
 
 RULES = [cp.Rule("price", above=0, at_most=100_000, level_factor=3), cp.Rule("maker", names=True, broken_share=0.25, single_share=0.5)]
 SCHEMA = "id string, price decimal(14,2), maker string, load string, value string, column_name int"
-MAKERS = ["Lavisogli Remedies", "Mersara Pharma", "Helselri Remedies", "Wenvi", "X & X", "None Such Works", "A.N.A. Drug House", "Nullmar Labs", "Novalue & Sons", "Unkn Brothers Mfg", "zero point laboratories", "3M", "Testa Pharma", "شركة النيل"]
-NAMELESS = [None, "", "   ", "\xa0", "-", "--", ".", "?", "0", "000", "n/a", "N/A", "#N/A", "N.A.", "none", "NULL", "nan", "xxx", "TBD", "t.b.c.", "unknown ", "UNKNOWN MANUFACTURER", "not available", "to be confirmed", "Not yet known", "غير معروف", "unbekannt"]
+MAKERS = ["Lavisogli Remedies", "Mersara Pharma", "Helselri Remedies", "Wenvi", "X & X", "None Such Works", "A.N.A. Drug House", "Nullmar Labs", "Novalue & Sons", "Unkn Brothers Mfg", "zero point laboratories", "3M", "Testa Pharma", "شركة النيل", "Ka", "Unknownia Ltd", "Ni", "X"]
+NAMELESS = [None, "", "   ", "\xa0", "-", "--", ".", "?", "0", "000", "n/a", "N/A", "#N/A", "N.A.", "none", "NULL", "nan", "xxx", "TBD", "t.b.c.", "unknown ", "UNKNOWN MANUFACTURER", "not available", "to be confirmed", "Not yet known", "غير معروف", "unbekannt", "Not yet", "mfr. unknown", "(none)", "<NULL>", "U/K", "k. A.", "awaiting details", "0.0"]
 
 
 def frame(spark, records):
