@@ -96,7 +96,7 @@ def bootstrap_gain(rows: DataFrame, row_id: str, gain: str, repetitions: int = 2
                 sums[1] += weight.sum(axis=0)
         yield pd.DataFrame({"repetition": np.arange(repetitions), "total": sums[0], "weight": sums[1]})
 
-    each = known.mapInPandas(partial, "repetition int, total double, weight double").groupBy("repetition").agg((F.sum("total") / F.sum("weight")).alias("mean"))
+    each = known.mapInPandas(partial, "repetition int, total double, weight double").groupBy("repetition").agg(F.try_divide(F.sum("total"), F.sum("weight")).alias("mean"))
     ends = each.agg(F.percentile("mean", F.lit(0.025)).alias("low"), F.percentile("mean", F.lit(0.975)).alias("high"))
     return known.agg(F.avg("gain").alias("mean_gain")).join(ends)  # one row each
 

@@ -189,3 +189,11 @@ def wn_18_series_ends(spark: SparkSession, folder: str) -> DataFrame:
     own = F.struct((-F.col("requested_units")).alias("a"), F.col("day").alias("d"))
     known = _product_days(spark, folder).filter("requested_units IS NOT NULL")
     return known.groupBy("product_id").agg(F.min("day").cast("string").alias("first_day"), F.max("day").cast("string").alias("last_day"), F.min_by("requested_units", "day").alias("first_units"), F.max_by("requested_units", "day").alias("last_units"), F.max("requested_units").alias("most_units"), F.min(own)["d"].cast("string").alias("day_of_most"))
+
+
+@query(f"""WITH {_PRODUCT_DAYS} SELECT product_id, count(*) AS active_days, round(avg(requested_units), 6) AS avg_requested, round(stddev_samp(requested_units), 6) AS std_requested, round(sum(lost_units) / greatest(sum(requested_units), 1), 6) AS lost_rate
+FROM daily GROUP BY 1 HAVING avg(requested_units) IS NOT NULL""")
+def q_dseed_product_seeds(spark: SparkSession, folder: str) -> DataFrame:
+    """Averages, deviation and lost rate of each product's days with demand."""
+    stats = _product_days(spark, folder).groupBy("product_id").agg(F.count(F.lit(1)).alias("active_days"), F.avg("requested_units").alias("mean"), F.round(F.stddev_samp("requested_units"), 6).alias("std_requested"), F.round(floored_ratio(F.sum("lost_units"), F.sum("requested_units")), 6).alias("lost_rate"))
+    return stats.filter("mean IS NOT NULL").select("product_id", "active_days", F.round("mean", 6).alias("avg_requested"), "std_requested", "lost_rate")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.identity import hash_unit, hash_unit_sha
 from ..functions.numbers import finite, half_up, logistic, normal_cdf
 from ..functions.text import blank, match_key, named, tidy
-from ..functions.temporal import utc_day
+from ..functions.temporal import compact_date, utc_day
 from ..operators.catalogue import first_of_key, normalised
 from ..registry import query
 from ..session import table
@@ -111,3 +111,13 @@ def alg_18_reject_reasons(spark: SparkSession, folder: str) -> DataFrame:
     """Catalogue records by the reason for which they are rejected."""
     records = normalised(table(spark, folder, "master_product"), "trade_name_en", "manufacturer", "route", "retail_price_egp")
     return records.groupBy(F.coalesce("reject_reason", F.lit("accepted")).alias("outcome")).agg(F.count(F.lit(1)).alias("records"))
+
+
+@query("""SELECT sale_id, notation, (created_at AT TIME ZONE 'UTC')::DATE::VARCHAR AS day FROM (SELECT DISTINCT sale_id, created_at FROM sale_header WHERE sale_id IS NOT NULL AND created_at IS NOT NULL), (VALUES ('yyyyMMdd'), ('yyyy-MM-dd'), ('MM/dd/yyyy')) AS v(notation)
+UNION ALL SELECT sale_id, 'none', NULL FROM (SELECT DISTINCT sale_id, created_at FROM sale_header WHERE sale_id IS NOT NULL AND created_at IS NOT NULL)""")
+def dt_10_compact_dates(spark: SparkSession, folder: str) -> DataFrame:
+    """Creation days written in three notations, and one that isn't any, read again."""
+    sales = table(spark, folder, "sale_header").filter("sale_id IS NOT NULL AND created_at IS NOT NULL").select("sale_id", "created_at").distinct().withColumn("day", utc_day("created_at"))
+    notations = ("yyyyMMdd", "yyyy-MM-dd", "MM/dd/yyyy")
+    written = [F.struct(F.lit(n).alias("notation"), F.date_format("day", n).alias("text")) for n in notations] + [F.struct(F.lit("none").alias("notation"), F.lit("13/45/2025").alias("text"))]
+    return sales.select("sale_id", F.explode(F.array(*written)).alias("w")).select("sale_id", "w.notation", compact_date(F.col("w.text")).cast("string").alias("day"))
