@@ -94,7 +94,7 @@ def sorted_out(valid: DataFrame, order: list[str]) -> DataFrame:
     keyed = hashed.withColumn("place", place)
     seen = keyed.groupBy(F.col("event_id").alias("seen_id")).agg(F.count(F.lit(1)).alias("copies"), F.min("meaning_sha256").alias("least"), F.max("meaning_sha256").alias("greatest"), F.min("place").alias("first"))
     repeated = seen.filter("copies > 1").select(F.col("seen_id").alias("event_id"), "copies", (F.col("least") != F.col("greatest")).alias("differs"), "first")
-    looked_up = spread_join(keyed, repeated, ["event_id"], "copies", "left")
+    looked_up = spread_join(keyed, repeated, ["event_id"], "copies", "left", rare=True)
     kind = F.when(F.col("differs"), "conflict").when(F.col("place") != F.col("first"), "duplicate").otherwise("canonical")
     return looked_up.withColumn("disposition", kind).drop("place", "differs", "first")
 

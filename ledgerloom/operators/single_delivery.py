@@ -37,7 +37,7 @@ def repeated_deliveries(stored: DataFrame, keys: list[str], new: DataFrame | Non
     order = order or keys
     keyed, frequent = _frequencies(_together(stored, new), identifier, order, identity)
     repeated = frequent.filter("copies > 1")
-    later = spread_join(keyed.select("uid", "place").filter(F.col("uid").isNotNull()), repeated, ["uid"], "copies", rows_a_task=rows_a_task)
+    later = spread_join(keyed.select("uid", "place").filter(F.col("uid").isNotNull()), repeated, ["uid"], "copies", rows_a_task=rows_a_task, rare=True)
     return later.filter(F.col("place") != F.col("first")).select(*[F.col(f"place.{k}").alias(k) for k in keys])
 
 
@@ -51,7 +51,7 @@ def single_deliveries(stored: DataFrame, new: DataFrame | None = None, identifie
     keyed, frequent = _frequencies(messages, identifier, order or ["kafka_timestamp", "kafka_topic", "kafka_partition", "kafka_offset"], identity)
     # a record without identifier gets a key that no UUID has, so that such records don't meet in one partition
     own = F.concat(F.unhex(F.md5(F.to_json("place"))), F.unhex(F.lit("00")))
-    split = spread_join(keyed.withColumn("uid", F.coalesce("uid", own)), frequent.filter("copies > 1"), ["uid"], "copies", "left", rows_a_task)
+    split = spread_join(keyed.withColumn("uid", F.coalesce("uid", own)), frequent.filter("copies > 1"), ["uid"], "copies", "left", rows_a_task, rare=True)
     once = split.filter(F.col("first").isNull()).select("row")
     ranked = split.filter(F.col("first").isNotNull() & (F.col("place") == F.col("first"))).select("uid", "row")
     # the place tells copies apart; a record stored twice under one place is still one message

@@ -13,18 +13,57 @@ from ..session import cut
 ROWS_A_TASK = 1_000_000
 
 
-def spread_join(many: DataFrame, one: DataFrame, on: list[str], weight: str, how: str = "inner", rows_a_task: int = ROWS_A_TASK) -> DataFrame:
+#: Words of 64 bits in a sieve: from 2 KB to 2 MB. Two bits a key; up to about a million keys one in 70 others passes.
+SIEVE_WORDS = (2**8, 2**18)
+
+
+def spread_join(many: DataFrame, one: DataFrame, on: list[str], weight: str, how: str = "inner", rows_a_task: int = ROWS_A_TASK, rare: bool = False) -> DataFrame:
     """``many`` joined with ``one`` on equal keys (null equals null); ``how`` is inner, left or left_semi.
 
     ``one`` has each key once, with the number of rows of ``many`` that it meets in ``weight``. It is written to the shared
     folder first, so its own making isn't part of the join and Spark knows its size. Keys that meet more than
     ``rows_a_task`` are split: their rows get a part by hash, and the key a copy for each part. The keys that are split are
     broadcast to give the parts; there are at most as many as rows of ``many`` over ``rows_a_task``.
+    With ``rare``, few rows of ``many`` have a partner: a bit sieve of the keys (bounded, see SIEVE_WORDS) tells most
+    others before any shuffle; what passes it by chance just has no partner in the join, so the result is the same.
     ``many`` must have no columns named as those of ``one``, except the keys.
     """
     one = cut(one)
-    heaviest = one.agg(F.max(weight)).first()[0] or 0
+    found = one.agg(F.max(weight), F.count(F.lit(1))).first()
     kept = [c for c in one.columns if c not in on and c != weight]
+    if rare:
+        test, sieve = _sieve(one, on, found[1])
+        split = lambda condition: many.sparkSession.sql(f"SELECT * FROM {{many}} WHERE {condition}", many=many, sieve=sieve)
+        joined = _joined(split(test), one, on, weight, how, rows_a_task, found[0] or 0, kept)
+        if how != "left":
+            return joined
+        types = dict(one.dtypes)
+        return joined.unionByName(split(f"NOT ({test})").select("*", *[F.lit(None).cast(types[c]).alias(c) for c in kept]))
+    return _joined(many, one, on, weight, how, rows_a_task, found[0] or 0, kept)
+
+
+def _sieve(one: DataFrame, on: list[str], keys: int) -> tuple[str, DataFrame]:
+    """The condition that a row's key may be among those of ``one``, and the one row of bits that it reads."""
+    words = SIEVE_WORDS[0]
+    while words < min(SIEVE_WORDS[1], keys // 4):
+        words *= 2
+    key = f"xxhash64({', '.join(on)})"
+    bits = [f"pmod({key}, {words * 64}L)", f"pmod(shiftrightunsigned({key}, 24), {words * 64}L)"]
+    spark = one.sparkSession
+    # every word is there, so that they make an array in order: at most SIEVE_WORDS[1] of them
+    sieve = spark.sql(
+        f"""
+SELECT transform(array_sort(collect_list(struct(word, bits))), w -> w.bits) AS sieve FROM (
+  SELECT word, bit_or(bits) AS bits FROM (
+    SELECT shiftright(b, 6) AS word, shiftleft(1L, cast(b & 63 AS int)) AS bits FROM (SELECT explode(array({", ".join(bits)})) AS b FROM {{one}})
+    UNION ALL SELECT id, 0L FROM range({words}))
+  GROUP BY word)""",
+        one=one,
+    )
+    return " AND ".join(f"getbit((SELECT sieve FROM {{sieve}})[cast(shiftright({b}, 6) AS int)], cast({b} & 63 AS int)) = 1" for b in bits), sieve
+
+
+def _joined(many: DataFrame, one: DataFrame, on: list[str], weight: str, how: str, rows_a_task: int, heaviest: int, kept: list[str]) -> DataFrame:
     key = lambda left, right: reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[f"one_{k}"]) for k in on])
     renamed = one.select(*[F.col(k).alias(f"one_{k}") for k in on], *kept, F.ceil(F.col(weight) / F.lit(rows_a_task)).cast("int").alias("one_parts"))
     back = [] if how == "left_semi" else kept
