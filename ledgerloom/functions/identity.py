@@ -10,10 +10,19 @@ UUID_NOTATION = r"(?i)^[\s\x{A0}\x{FEFF}]*(?:urn:uuid:)?[{(]?((?:[0-9a-f]-?){31}
 
 
 def uuid_bytes(text: Column | str) -> Column:
-    """The 16 bytes of the UUID that a text denotes; NULL for null, empty and other texts."""
+    """The 16 bytes of the UUID that a text denotes; NULL for null, empty and other texts.
+
+    The usual notations, 32 digits with or without the four hyphens, are read without a pattern.
+    """
     column = F.col(text) if isinstance(text, str) else text
+    plain = F.replace(column, F.lit("-"), F.lit(""))
+    placed = F.length(column) == 32
+    hyphens = F.length(column) == 36
+    for at in (9, 14, 19, 24):
+        hyphens = hyphens & (F.substring(column, at, 1) == "-")
+    usual = F.when((F.length(plain) == 32) & (placed | hyphens), F.unhex(plain))
     digits = F.regexp_replace(F.regexp_extract(column, UUID_NOTATION, 1), "-", "")
-    return F.when(F.length(digits) == 32, F.unhex(digits))
+    return F.coalesce(usual, F.when(F.length(digits) == 32, F.unhex(digits)))
 
 
 def hash_unit(text: Column) -> Column:
