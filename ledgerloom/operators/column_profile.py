@@ -74,7 +74,7 @@ def _shapes(values: DataFrame, rules: list[Rule]) -> DataFrame:
         text = F.regexp_replace(text, classes, sign)
     with_1 = values.withColumn("shape_1", text)
     with_2 = with_1.withColumn("shape_2", F.regexp_replace("shape_1", r"(.)\1+", "$1" + AGAIN))
-    merged = F.regexp_replace(F.regexp_replace("shape_2", f"(?:[Aab_]{AGAIN}?)+", WORD), f"9{AGAIN}?", NUMBER)
+    merged = F.regexp_replace(F.regexp_replace("shape_2", f"(?:[Aab_]{AGAIN}?+)++", WORD), f"9{AGAIN}?+", NUMBER)
     loose = F.regexp_replace(merged, rf"(?: {AGAIN}?)?([,:;{{}}\[\]])(?: {AGAIN}?)?", f"{LOOSE}$1{LOOSE}")
     return with_2.withColumn("words_3", loose).withColumn("shape_3", F.regexp_replace("words_3", r"(.{2,24}?)\1+", OPEN + "$1" + CLOSE))
 
@@ -99,8 +99,8 @@ def induce(counts: DataFrame, rules: list[Rule]) -> DataFrame:
 
     The expressions of a column form a tree (by character, run, word, any text). A set of them, with the remaining values
     written in full, is a description of all distinct values; of all such cuts of the tree the one with the fewest bits (8 a
-    sign of an expression, 16 an expression, which expression each value has, and its own bits given that) is found bottom-up, level by level, with
-    one aggregation each: nothing is gathered or sampled. Columns: column_name, value, row_count, shape_1, ``sign``
+    sign of an expression, 16 an expression, which expression each value has, and its own bits given that) is found
+    bottom-up, level by level, with one aggregation each: nothing is gathered or sampled. Columns: column_name, value, row_count, shape_1, ``sign``
     (expression in signs) and ``expression`` (as a regular expression), both null for exceptions: nonconforming values.
     """
     distinct = counts.filter(F.col("value").isNotNull()).groupBy("column_name", "value").agg(F.sum("row_count").alias("row_count"))

@@ -45,7 +45,7 @@ def _is_object(text: str) -> Column:
 
 
 def envelope_checks() -> list[Check]:
-    """The rules of an event envelope in the order in which failures are named."""
+    """The rules of an event envelope in the order in which failures are named. The codes are fixed values."""
     uuid = lambda c: F.col(c).rlike(UUID)
     domain = F.regexp_extract("kafka_topic", r"([^.]+)\.v\d+$", 1)
     expected = F.lit(None).cast("string")

@@ -80,3 +80,11 @@ def test_empty_and_all_null_columns(spark):
     empty = frame(spark, []).limit(0)
     values = cp.judged(cp.value_counts(empty, RULES, "load"), RULES)
     assert cp.profile(values, RULES).count() == 0 and cp.broken_records(empty, "id", RULES, values).count() == 0
+
+
+def test_very_long_values(spark):
+    makers = ["aA_" * 200_000, "a1-" * 200_000, "n/a " * 50_000, "x" * 1_000_000, '{"a": 1, ' * 30_000]
+    records = [(str(i), "5", m, "l") for i, m in enumerate(makers)]
+    values = judged(spark, records)
+    assert cp.profile(values, RULES).count() == 2
+    assert [r["record_key"] for r in cp.broken_records(frame(spark, records), "id", RULES, values).collect()] in (["2", "3"], ["3", "2"])
