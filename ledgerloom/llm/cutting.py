@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from array import array
+
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,7 +19,7 @@ PARAGRAPH, SENTENCE, WORD_END, INSIDE = 0, 1, 2, 3
 KINDS = ("paragraph", "sentence", "word", "inside")
 
 
-def cohesion(terms: list[str | None], block: int = BLOCK) -> list[float]:
+def cohesion(terms: list[str | None], block: int = BLOCK) -> array:
     """At each gap g (before term g; 0 and the end are 1) the cosine of the term counts of ``block`` terms on either side.
 
     Terms that are None take a place but count nothing. Counts and sums are carried from gap to gap.
@@ -31,7 +33,7 @@ def cohesion(terms: list[str | None], block: int = BLOCK) -> list[float]:
             c = right.get(t, 0)
             right_square += 2 * c + 1
             right[t] = c + 1
-    found = [1.0] * (n + 1)
+    found = array("d", [1.0]) * (n + 1)
     for g in range(1, n):
         t = terms[g - 1]
         if t is not None:  # from the right block to the left one
@@ -54,7 +56,7 @@ def cohesion(terms: list[str | None], block: int = BLOCK) -> list[float]:
     return found
 
 
-def depths(similar: list[float]) -> list[float]:
+def depths(similar: array) -> array:
     """How deep each gap lies under the peaks on both sides, climbing from it as long as it rises."""
     n = len(similar)
     peak = similar[:]
@@ -65,7 +67,7 @@ def depths(similar: list[float]) -> list[float]:
     for g in range(n - 2, -1, -1):
         if similar[g + 1] >= similar[g]:
             other[g] = other[g + 1]
-    return [a + b - 2 * s for a, b, s in zip(peak, other, similar)]
+    return array("d", (a + b - 2 * s for a, b, s in zip(peak, other, similar)))
 
 
 def _kind(token: str, between: str) -> int:
@@ -83,22 +85,34 @@ def pieces_of(text: str, limit: int = LIMIT, overlap: int = OVERLAP, block: int
     must end, the best kind of gap in the later half of its window is taken (paragraph, sentence, word end, or within a run
     without spaces), and of those the deepest valley of cohesion, the last of equal ones. No token is cut.
     """
-    spans = [m.span() for m in TOKEN.finditer(text)]
-    n = len(spans)
+    # arrays, and one string a word: a text of ten million characters takes some 100 MB
+    starts, ends, terms, vocabulary = array("q"), array("q"), [], {}
+    one = vocabulary.setdefault
+    for match in TOKEN.finditer(text):
+        first, end = match.span()
+        starts.append(first)
+        ends.append(end)
+        word = text[first:end]
+        if word[0].isalnum() or word[0] == "_":
+            word = word.lower()
+            terms.append(one(word, word))
+        else:
+            terms.append(None)
+    n = len(starts)
     if not n:
         return []
     if n <= limit:
-        return [(spans[0][0], spans[-1][1], n, "end")]
-    tokens = [text[a:b] for a, b in spans]
-    deep = depths(cohesion([t.lower() if t[0].isalnum() or t[0] == "_" else None for t in tokens], block))
+        return [(starts[0], ends[-1], n, "end")]
+    deep = depths(cohesion(terms, block))
+    kind = lambda g: _kind(text[starts[g - 1] : ends[g - 1]], text[ends[g - 1] : starts[g]])
     found = []
     start = fresh = 0
     while start + limit < n:
         lowest, highest = fresh + max(1, (start + limit - fresh) // 2), start + limit
-        best = min(range(lowest, highest + 1), key=lambda g: (_kind(tokens[g - 1], text[spans[g - 1][1] : spans[g][0]]), -deep[g], -g))
-        found.append((spans[start][0], spans[best - 1][1], best - start, KINDS[_kind(tokens[best - 1], text[spans[best - 1][1] : spans[best][0]])]))
+        best = min(range(lowest, highest + 1), key=lambda g: (kind(g), -deep[g], -g))
+        found.append((starts[start], ends[best - 1], best - start, KINDS[kind(best)]))
         fresh, start = best, best - overlap
-    found.append((spans[start][0], spans[-1][1], n - start, "end"))
+    found.append((starts[start], ends[-1], n - start, "end"))
     return found
 
 
