@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +18,8 @@ PASSAGE = 12
 SHINGLE = 5
 #: Words of items in one index: about 60 MB in a task. More items are searched in blocks of this size.
 WORDS_A_BLOCK = 200_000
+#: Bytes of text whose words a task holds at once.
+BYTES_AT_ONCE = 4_000_000
 # odd multipliers of a shingle's words, and of the final mixing
 _STEPS = np.array([0x9E3779B97F4A7C15 * (2 * j + 1) % 2**64 | 1 for j in range(SHINGLE)], dtype=np.uint64)
 
@@ -122,7 +127,7 @@ def leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text:
 
         def search(batches, shared=shared):
             index = PassageIndex.of(shared.value)
-            for batch in batches:
+            for batch in (part for whole in batches for part in _by_size(whole, BYTES_AT_ONCE)):
                 pairs = index.search(batch.column(1).to_pylist())
                 rows = pa.array([p for p, _ in pairs], type=pa.int64())
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), pa.array([i for _, i in pairs], type=item_type)], ["doc_id", "item_id"])
@@ -132,5 +137,16 @@ def leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text:
     return parts.distinct().select(F.col("doc_id").alias(doc_id), F.col("item_id").alias(item_id))
 
 
+def _by_size(batch: pa.RecordBatch, most: int) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of at most ``most`` bytes of text, or of one longer text."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False))
+    first = 0
+    while first < batch.num_rows:
+        before = sizes[first - 1] if first else 0
+        end = max(first + 1, int(np.searchsorted(sizes, before + most, side="right")))
+        yield batch.slice(first, end - first)
+        first = end
+
+
 def _arrow_type(kind: str) -> pa.DataType:
     return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]

@@ -3,7 +3,9 @@ import re
 import unicodedata
 from collections import defaultdict
 
-from ledgerloom.llm.leakage import leaks
+import pyarrow as pa
+
+from ledgerloom.llm.leakage import _by_size, leaks
 
 DOCS, ITEMS = "doc_id long, text string, text_tgt string, item_id string", "item_id long, text string, doc_id string"
 
@@ -85,3 +87,11 @@ def test_a_passage_deep_inside_a_very_long_text(spark, rows):
 def test_empty_tables(spark):
     docs, items = frames(spark, *random_case(4))
     assert leaks(docs.limit(0), items).count() == 0 and leaks(docs, items.limit(0)).count() == 0
+
+
+def test_batches_are_searched_in_slices_that_keep_all_rows():
+    texts = ["a" * 7, None, "", "b" * 30, "c", "dd", "e" * 9]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(7)), pa.array(texts)], ["i", "t"])
+    parts = [p.column(1).to_pylist() for p in _by_size(batch, 10)]
+    assert [x for p in parts for x in p] == texts and all(len(p) == 1 or sum(len(x or "") for x in p) <= 10 for p in parts)
+    assert list(_by_size(batch.slice(0, 0), 10)) == []
