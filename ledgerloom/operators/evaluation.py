@@ -7,6 +7,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
+
+#: Values that a draw by hash can have.
+_DRAWS = 2**53
+
 
 def regression_metrics(rows: DataFrame, truth: str, prediction: str, group: list[str] | None = None) -> DataFrame:
     """MAE, RMSE, R2, WAPE, sMAPE, median and 90th percentile of the error, and bias; one pass, per group if given."""
@@ -109,25 +114,38 @@ def best_blend(rows: DataFrame, truth: str, model: str, baseline: str, steps: in
     return errors.select(F.array_min(each).alias("best")).select("best.share", "best.error")
 
 
-def boosted_trees(labelled: DataFrame, features: list[str], label: str, most_rows: int = 200_000, classify: bool = False, rounds: int = 20, seed: int = 42):
+def model_rows(known: DataFrame, features: list[str], most_rows: int, row_id: list[str] | None = None, seed: int = 42) -> DataFrame:
+    """About ``most_rows`` of the rows at most, each drawn by itself, with ``row_seen``: true for eight in ten, drawn apart.
+
+    The draws come from the hash of ``row_id`` (the features beside it tell rows without one apart), so a row delivered
+    again falls on the same side. Without ``row_id`` the rows are written and numbered. Equal features are never drawn as one.
+    """
+    if row_id is None:
+        known, row_id = cut(known).withColumn("row_number", F.monotonically_increasing_id()), ["row_number"]
+    n = known.count()
+    draw = lambda *more: F.pmod(F.xxhash64(*row_id, *features, *more), F.lit(_DRAWS))
+    drawn = known.filter(draw() < _DRAWS * most_rows // n) if n > most_rows else known
+    return drawn.withColumn("row_seen", draw(F.lit(seed)) < _DRAWS // 10 * 8)
+
+
+def boosted_trees(labelled: DataFrame, features: list[str], label: str, most_rows: int = 200_000, classify: bool = False, rounds: int = 20, seed: int = 42, row_id: list[str] | None = None):
     """A gradient-boosted tree model with its features assembled; fitted on at most about ``most_rows`` rows by their hash.
 
     The bound is the only sampling: the model then scores any number of rows. ``classify`` adds a logistic calibration of
-    the trees' margin (Platt), fitted on the rows that the trees didn't see.
+    the trees' margin (Platt), fitted on the rows that the trees didn't see. ``row_id`` names the columns that tell rows
+    apart, see model_rows().
     """
     from pyspark.ml import Pipeline, PipelineModel
     from pyspark.ml.classification import GBTClassifier, LogisticRegression
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import GBTRegressor
 
-    known = labelled.dropna(subset=[*features, label]).withColumn(label, F.col(label).cast("double"))
-    n = known.count()
-    if n > most_rows:
-        known = known.filter(F.pmod(F.xxhash64(*features), F.lit(1_000_000)) < int(1_000_000 * most_rows / n))
+    kept = list(dict.fromkeys([*features, label, *(row_id or [])]))
+    known = labelled.dropna(subset=[*features, label]).select(*kept).withColumn(label, F.col(label).cast("double"))
+    known = model_rows(known, features, most_rows, row_id, seed)
     assembler = VectorAssembler(inputCols=features, outputCol="features")
     if not classify:
         return Pipeline(stages=[assembler, GBTRegressor(labelCol=label, maxIter=rounds, seed=seed)]).fit(known)
-    seen = F.pmod(F.xxhash64(*features, F.lit(seed)), F.lit(10)) < 8
-    trees = Pipeline(stages=[assembler, GBTClassifier(labelCol=label, maxIter=rounds, seed=seed, predictionCol="leaning").setRawPredictionCol("margin").setProbabilityCol("uncalibrated")]).fit(known.filter(seen))
-    calibration = LogisticRegression(featuresCol="margin", labelCol=label).fit(trees.transform(known.filter(~seen)))
+    trees = Pipeline(stages=[assembler, GBTClassifier(labelCol=label, maxIter=rounds, seed=seed, predictionCol="leaning").setRawPredictionCol("margin").setProbabilityCol("uncalibrated")]).fit(known.filter("row_seen"))
+    calibration = LogisticRegression(featuresCol="margin", labelCol=label).fit(trees.transform(known.filter("NOT row_seen")))
     return PipelineModel(stages=[*trees.stages, calibration])

@@ -60,7 +60,7 @@ def alg_25_boosted_demand(spark: SparkSession, folder: str) -> DataFrame:
     made = _forecasts(spark, folder)
     last = made.agg(F.max("day").alias("last")).first()["last"]
     marked = made.withColumn("held_out", F.datediff(F.lit(last), "day") < 30)
-    model = boosted_trees(marked.filter(~F.col("held_out")), ["naive", "mean_28", "weekday"], "y", rounds=10)
+    model = boosted_trees(marked.filter(~F.col("held_out")), ["naive", "mean_28", "weekday"], "y", rounds=10, row_id=["product_id", "day"])
     return model.transform(marked).select("product_id", F.col("day").cast("string").alias("day"), "y", "held_out", F.round("prediction", 6).alias("prediction"))
 
 
@@ -69,7 +69,7 @@ def alg_25_calibrated_stockouts(spark: SparkSession, folder: str) -> DataFrame:
     """The probability of a stock-out of each attempt, by boosted trees calibrated on rows they didn't see."""
     attempts = table(spark, folder, "demand_attempt").filter("requested_units IS NOT NULL AND transaction_ts IS NOT NULL")
     made = attempts.select("demand_attempt_id", F.col("requested_units").cast("double").alias("units"), F.dayofweek(utc_day("transaction_ts")).cast("double").alias("weekday"), (F.col("outcome") == "OUT_OF_STOCK").cast("double").alias("label")).fillna(0.0, ["label"])
-    model = boosted_trees(made, ["units", "weekday"], "label", most_rows=20_000, classify=True, rounds=5)
+    model = boosted_trees(made, ["units", "weekday"], "label", most_rows=20_000, classify=True, rounds=5, row_id=["demand_attempt_id"])
     return model.transform(made).select("demand_attempt_id", "label", F.round(F.element_at(vector_to_array("probability"), 2), 6).alias("probability"))
 
 

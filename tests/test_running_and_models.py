@@ -6,7 +6,7 @@ import pytest
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from ledgerloom.operators.evaluation import best_blend, boosted_trees, bootstrap_gain
+from ledgerloom.operators.evaluation import best_blend, boosted_trees, bootstrap_gain, model_rows
 from ledgerloom.operators.running import along
 from ledgerloom.sources import offsets
 from ledgerloom.streaming.cycle import cut_over, run_cycle
@@ -57,6 +57,22 @@ def test_boosted_trees_predict_held_out_rows(spark):
     assert scored.agg(F.avg((F.col("p") - F.col("c")) ** 2)).first()[0] < 0.08
 
 
+def test_few_distinct_features_are_sampled_by_row(spark):
+    # 3 combinations among 60,000 rows, 100 times the bound; every third row twice
+    rate = {1.0: 0.1, 2.0: 0.5, 3.0: 0.9}
+    once = spark.range(45_000).select(F.concat(F.lit("r"), "id").alias("id"), (F.col("id") % 3 + 1).cast("double").alias("x"), F.lit(1.0).alias("z"), (F.floor(F.col("id") / 3) % 10).alias("tenth"))
+    rows = once.unionByName(once.filter("x = 1")).withColumn("c", (F.col("tenth") < F.element_at(F.array(*map(F.lit, rate.values())), F.col("x").cast("int")) * 10).cast("double"))
+    for row_id in (["id"], None):
+        drawn = model_rows(rows, ["x", "z"], 600, row_id)
+        sides = {(r["x"], r["row_seen"]): r["count"] for r in drawn.groupBy("x", "row_seen").count().collect()}
+        assert len(sides) == 6 and 450 < sum(sides.values()) < 750
+    twice = model_rows(rows, ["x", "z"], 600, ["id"]).groupBy("id").agg(F.count_distinct("row_seen").alias("sides"))
+    assert twice.agg(F.max("sides")).first()[0] == 1
+    scored = boosted_trees(rows, ["x", "z"], "c", most_rows=600, classify=True, rounds=3, row_id=["id"]).transform(once.filter("tenth = 0").limit(30))
+    for r in scored.groupBy("x").agg(F.avg(F.element_at(vector_to_array("probability"), 2)).alias("p")).collect():
+        assert r["p"] == pytest.approx(rate[r["x"]], abs=0.2)
+
+
 def topic(spark, n):
     return spark.createDataFrame([("a", p, o, f"{p}-{o}") for p in (0, 1) for o in range(n)], "kafka_topic string, kafka_partition int, kafka_offset long, id string")
 
