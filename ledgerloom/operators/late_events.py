@@ -10,20 +10,13 @@ from .spread import spread_join
 CUTOFF_MS = 72 * 3_600_000
 
 
-def _readable(group: str, keys: list[str], occurred_at: str, recorded_at: str) -> str:
-    """Each record with its two moments, null where the text isn't one."""
-    columns = ", ".join([f"{group} AS series", *dict.fromkeys(keys)])
-    return f"SELECT {columns}, {zoned_moment_sql(occurred_at)} AS occurred, {zoned_moment_sql(recorded_at)} AS recorded FROM {{records}}"
-
-
-_DAYS = f"{utc_day_sql('occurred')} AS event_day, {utc_day_sql('recorded')} AS arrival_day"
-_LATE_BY = "unix_millis(recorded) - unix_millis(occurred)"
-
-
-def _placed(group: str, occurred_at: str, recorded_at: str, cutoff_ms: int) -> str:
+def _placed(group: str, keys: list[str], occurred_at: str, recorded_at: str, cutoff_ms: int) -> str:
     """Each readable record with its cell of the triangle, and whether it came after the cut-off."""
+    columns = ", ".join([f"{group} AS series", *dict.fromkeys(keys)])
     return f"""
-SELECT series, {_DAYS}, {_LATE_BY} > {int(cutoff_ms)} AS beyond FROM ({_readable(group, [], occurred_at, recorded_at)})
+SELECT *, {utc_day_sql("occurred")} AS event_day, {utc_day_sql("recorded")} AS arrival_day,
+       unix_millis(recorded) - unix_millis(occurred) > {int(cutoff_ms)} AS beyond
+FROM (SELECT {columns}, {zoned_moment_sql(occurred_at)} AS occurred, {zoned_moment_sql(recorded_at)} AS recorded FROM {{records}})
 WHERE occurred IS NOT NULL AND recorded IS NOT NULL"""
 
 
@@ -43,7 +36,7 @@ def revisions(records: DataFrame, group: str = "event_type", occurred_at: str =
     unreadable or without a zone give no record; repeated records count as often as they stand; an empty table gives no
     rows. Other columns, also of clashing names, aren't read.
     """
-    cells = _cells(_placed(group, occurred_at, recorded_at, cutoff_ms))
+    cells = _cells(_placed(group, [], occurred_at, recorded_at, cutoff_ms))
     return records.sparkSession.sql(
         f"""
 SELECT series AS {group}, event_day, arrival_day, arrived,
@@ -58,12 +51,12 @@ FROM ({cells}) WHERE arrived > 0""",
 def beyond_cutoff(records: DataFrame, keys: list[str], group: str = "event_type", occurred_at: str = "occurred_at", recorded_at: str = "recorded_at", cutoff_ms: int = CUTOFF_MS) -> DataFrame:
     """``keys`` of the records that the triangle refuses: more than ``cutoff_ms`` late, to the millisecond, each by itself.
 
-    The triangle's cells with refused records select the candidates, of which each is judged; cells without any aren't
-    built. One condition decides, so that the texts of each record are read once. Nulls, ties and repeats are treated as in
-    revisions().
+    The triangle is built over all readable records, those in time included; its cells with refused records select the
+    candidates, of which each is judged. Nulls, ties and repeats are treated as in revisions().
     """
     spark = records.sparkSession
-    late = f"SELECT *, {_DAYS} FROM ({_readable(group, keys, occurred_at, recorded_at)}) WHERE {_LATE_BY} > {int(cutoff_ms)}"
-    cells = spark.sql(f"SELECT series, event_day, arrival_day, count(*) AS refused FROM ({late}) GROUP BY series, event_day, arrival_day", records=records)
-    refused = spark.sql(f"SELECT series, event_day, arrival_day, {', '.join(dict.fromkeys(keys))} FROM ({late})", records=records)
-    return spread_join(refused, cells, ["series", "event_day", "arrival_day"], "refused", "left_semi").select(*keys)
+    placed = _placed(group, keys, occurred_at, recorded_at, cutoff_ms)
+    cells = spark.sql(f"SELECT *, arrived + refused AS met FROM ({_cells(placed)}) WHERE refused > 0", records=records)
+    each = spark.sql(f"SELECT series, event_day, arrival_day, beyond, {', '.join(dict.fromkeys(keys))} FROM ({placed})", records=records)
+    candidates = spread_join(each, cells, ["series", "event_day", "arrival_day"], "met", "left_semi")
+    return candidates.filter("beyond").select(*keys)

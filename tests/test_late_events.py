@@ -1,3 +1,4 @@
+from ledgerloom.operators import late_events
 from ledgerloom.operators.late_events import beyond_cutoff, revisions
 
 SCHEMA = "topic string, place int, event_type string, occurred_at string, recorded_at string, series string, event_day int, beyond string"
@@ -28,6 +29,18 @@ def test_beyond_the_cutoff_to_the_millisecond(spark, rows):
     assert rows(beyond_cutoff(frame(spark, RECORDS), ["topic", "place"])) == [("t", 2), ("t", 3), ("t", 5)]
 
 
+def test_refused_cells_are_those_of_the_whole_triangle(spark, rows, monkeypatch):
+    seen, joined = [], late_events.spread_join
+    monkeypatch.setattr(late_events, "spread_join", lambda many, one, *more: seen.append((many, one)) or joined(many, one, *more))
+    beyond_cutoff(frame(spark, RECORDS), ["topic", "place"])
+    (many, cells), = seen
+    assert many.count() == 7  # the readable records, those in time included
+    assert [tuple(map(str, r)) for r in rows(cells, "series", "event_day", "arrival_day", "arrived", "refused")] == [
+        ("None", "2025-01-01", "2025-02-01", "0", "1"),
+        ("a", "2025-01-01", "2025-01-04", "1", "2"),
+    ]
+
+
 def test_every_revision_and_no_refused_record(spark, rows):
     found = rows(revisions(frame(spark, RECORDS)), "event_type", "event_day", "arrival_day", "arrived", "corrected_total", "revision", "is_latest")
     assert [tuple(map(str, r)) for r in found] == [
