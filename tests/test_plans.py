@@ -43,3 +43,13 @@ def test_no_python_in_the_plan(spark, name):
 
 def test_a_filter_on_a_table_reaches_its_scan(spark):
     assert re.search(r"PushedFilters: \[[^\]]*EqualTo\(event_type,sale\.units_fulfilled\)", plan(spark, "fct_daily_sales_demand"))
+
+
+def test_coverage_of_loads_is_compared_and_written(spark, monkeypatch):
+    from ledgerloom.plans import core_problems
+
+    written, cut = [], core_problems.cut
+    monkeypatch.setattr(core_problems, "cut", lambda df: written.append(cut(df)) or written[-1])
+    core_problems.p1_found(spark, FOLDER)
+    (loads,) = [df for df in written if {"shift_before", "shift_overall", "out_of_order"} <= set(df.columns)]
+    assert loads.count() and loads.filter("shift_overall IS NULL").count() == 0
