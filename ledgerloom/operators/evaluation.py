@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut
+from .running import along
 
 #: Values that a draw by hash can have.
 _DRAWS = 2**53
@@ -61,6 +62,73 @@ def binary_metrics(scores: DataFrame, steps: int = 1000) -> DataFrame:
     return figures.join(bins.agg(F.round(F.sum("gap") / F.sum("n"), 6).alias("calibration_error")))
 
 
+def exact_points(rows: DataFrame, truth: str, score: str) -> DataFrame:
+    """Per distinct score between 0 and 1: its rows and positives, all from it on, all at all, and what taking them gives.
+
+    Scores aren't rounded, so there may be as many as rows; the running sums go along a range-partitioned sort. Scores
+    beyond 0 and 1 count as these, NaN as no score. Without positives recall is null, as are the figures made of it.
+    """
+    clipped = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col(score).cast("double"))) + 0.0
+    known = rows.filter(F.col(truth).isNotNull() & F.col(score).isNotNull() & ~F.isnan(F.col(score).cast("double")))
+    counts = known.groupBy(clipped.alias("score")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(truth).cast("long")).alias("positives"))
+    run = along(counts.withColumn("from_top", -F.col("score")), [], ["from_top"], {"taken": F.col("n"), "hits": F.col("positives")}).drop("from_top")
+    run = cut(run)  # read for the sums and again beside them
+    whole = run.agg(F.sum("n").alias("rows"), F.sum("positives").alias("all_positives"))  # one row
+    precision, recall = F.col("hits") / F.col("taken"), F.try_divide(F.col("hits"), F.col("all_positives"))
+    f2 = F.try_divide(5.0 * precision * recall, 4.0 * precision + recall)
+    prevalence = F.greatest(F.col("all_positives") / F.col("rows"), F.lit(1e-9))
+    return run.join(F.broadcast(whole)).withColumns({"prevalence": prevalence, "precision": precision, "recall": recall, "alert_rate": F.col("taken") / F.col("rows"), "lift": precision / prevalence, "f2": F.when(recall == 0, 0.0).otherwise(f2)})
+
+
+def exact_metrics(points: DataFrame) -> DataFrame:
+    """The figures of binary_metrics() over distinct scores, with the lift of average precision and of the top 10 %.
+
+    The top has a tenth of the rows, cut down to a whole number, one at least; of rows with the score at its end it takes
+    each alike, so that its share of their positives counts.
+    """
+    negatives = F.col("rows") - F.col("all_positives")
+    over = F.col("taken") - F.col("n")
+    beaten = F.col("positives").cast("double") * (negatives - (F.col("taken") - F.col("hits")) + (F.col("n") - F.col("positives")) * 0.5)
+    brier = F.col("positives") * (1.0 - F.col("score")) * (1.0 - F.col("score")) + (F.col("n") - F.col("positives")) * F.col("score") * F.col("score")
+    top = F.greatest(F.lit(1), F.floor(F.col("rows") / 10))
+    in_top = F.col("positives") * F.greatest(F.lit(0.0), F.least(F.lit(1.0), (top - over) / F.col("n")))
+    precision = F.sum(F.try_divide(F.col("positives"), F.col("all_positives")) * F.col("precision"))
+    figures = points.agg(
+        F.sum("n").alias("scored"), F.round(F.sum("positives") / F.sum("n"), 6).alias("prevalence"), F.round(F.try_divide(F.sum(beaten), F.max(F.col("all_positives").cast("double") * negatives)), 6).alias("roc_auc"),
+        F.round(precision, 6).alias("average_precision"), F.round(precision / F.max("prevalence"), 6).alias("average_precision_lift"), F.round(F.sum(brier) / F.sum("n"), 6).alias("brier"),
+        F.round(F.sum(in_top) / F.max(top), 6).alias("top_precision"), F.round(F.try_divide(F.sum(in_top), F.max("all_positives")), 6).alias("top_recall"), F.round(F.sum(in_top) / F.max(top) / F.max("prevalence"), 6).alias("top_lift"),
+    )
+    bins = points.withColumn("bin", F.least(F.floor(F.col("score") * 10), F.lit(9))).groupBy("bin").agg(F.sum("n").alias("n"), F.abs(F.sum(F.col("score") * F.col("n")) - F.sum("positives")).alias("gap"))
+    return figures.join(bins.agg(F.round(F.sum("gap") / F.sum("n"), 6).alias("calibration_error")))  # one row each
+
+
+#: The least lift of precision by prevalence below which it holds; the last beyond.
+LIFTS = ((0.005, 5.0), (0.02, 3.0))
+COMMON_LIFT = 1.5
+
+
+def chosen_threshold(points: DataFrame, least_recall: float = 0.5, most_alerts: float = 0.1) -> DataFrame:
+    """One row: the score from which on to alert, by exact_points(), and what it gives; none for no scores.
+
+    Of the scores with enough recall and lift and not too many alerts, the one of the greatest F2, then lift, then the
+    fewest alerts. If there is none, the 90th percentile of the scores, between two of them if need be.
+    """
+    needed = F.lit(COMMON_LIFT)
+    for below, lift in reversed(LIFTS):
+        needed = F.when(F.col("prevalence") < below, lift).otherwise(needed)
+    fits = (F.col("recall") >= least_recall) & (F.col("lift") >= needed) & (F.col("alert_rate") <= most_alerts)
+    at = (F.col("rows") - 1) * 0.9  # place among the scores in order, from 0
+    before = F.col("rows") - F.col("taken")
+    holds = lambda place: F.max(F.when((before <= place) & (place < before + F.col("n")), F.col("score")))
+    best = F.max(F.when(fits, F.struct("f2", "lift", -F.col("alert_rate"), "score")))
+    ends = points.agg(best["score"].alias("best"), holds(F.floor(at)).alias("low"), holds(F.ceil(at)).alias("high"), F.max(at - F.floor(at)).alias("between"))
+    between = F.col("low") + (F.col("high") - F.col("low")) * F.col("between")
+    chosen = ends.select(F.coalesce("best", between).alias("threshold"), F.when(F.col("best").isNotNull(), "operating_point").otherwise("top_tenth").alias("selection"))
+    # the least score at or over the threshold has the figures of all that are
+    reached = points.join(F.broadcast(chosen), F.col("score") >= F.col("threshold")).groupBy("threshold", "selection").agg(F.min_by(F.struct("precision", "recall", "alert_rate", "lift", "f2"), "score").alias("p"))
+    return reached.select("selection", F.round("threshold", 9).alias("threshold"), *[F.round(F.col("p")[c], 6).alias(c) for c in ("precision", "recall", "alert_rate", "lift", "f2")])
+
+
 def time_split(rows: DataFrame, day: str, embargo_days: int, train: float = 0.6, validation: float = 0.8) -> DataFrame:
     """Rows with ``part``: train, validation, test by the days that occur, or purged: a label could reach the next part."""
     days = rows.select(day).filter(F.col(day).isNotNull()).distinct()

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.temporal import utc_day
 from ..operators.allocation import from_lots, largest_remainder
-from ..operators.evaluation import binary_metrics, operating_points, regression_metrics, score_table, time_split
+from ..operators.evaluation import binary_metrics, chosen_threshold, exact_metrics, exact_points, operating_points, regression_metrics, score_table, time_split
 from ..registry import query
 from ..session import table
 
@@ -79,3 +79,35 @@ def alg_22_binary_metrics(spark: SparkSession, folder: str) -> DataFrame:
 def alg_23_operating_points(spark: SparkSession, folder: str) -> DataFrame:
     """Precision, recall, alert rate and F2 at each score."""
     return operating_points(_scores(spark, folder))
+
+
+_FINE = """fine AS (SELECT greatest(0.0::DOUBLE, least(1.0::DOUBLE, requested_units / (requested_units + 7.0::DOUBLE) / 1000)) AS score, count(*) AS n, sum(CASE WHEN outcome = 'OUT_OF_STOCK' THEN 1 ELSE 0 END) AS pos FROM demand_attempt WHERE requested_units > 0 GROUP BY 1),
+f AS (SELECT *, sum(n) OVER w AS taken, sum(pos) OVER w AS hits, sum(n) OVER () AS rows, sum(pos) OVER () AS allpos FROM fine WINDOW w AS (ORDER BY score DESC ROWS UNBOUNDED PRECEDING)),
+g AS (SELECT *, hits / taken AS precision, hits / allpos AS recall, taken / rows AS alert_rate, greatest(allpos / rows, 1e-9) AS prevalence, greatest(1, floor(rows / 10)) AS top FROM f)"""
+
+
+def _fine_points(spark: SparkSession, folder: str) -> DataFrame:
+    """Scores below 0.001, as those of rare events."""
+    asked = F.col("requested_units").cast("double")
+    attempts = table(spark, folder, "demand_attempt").filter("requested_units > 0")
+    return exact_points(attempts.select((F.col("outcome") == "OUT_OF_STOCK").cast("int").alias("truth"), (asked / (asked + 7.0) / 1000).alias("score")).fillna(0, ["truth"]), "truth", "score")
+
+
+@query(f"""WITH {_FINE}, b AS (SELECT sum(n) AS n, abs(sum(score * n) - sum(pos)) AS gap FROM g GROUP BY least(floor(score * 10), 9)), c AS (SELECT round(sum(gap) / sum(n), 6) AS calibration_error FROM b),
+t AS (SELECT *, pos * greatest(0, least(1, (top - (taken - n)) / n)) AS in_top FROM g)
+SELECT sum(n)::BIGINT AS scored, round(sum(pos) / sum(n), 6) AS prevalence, round(sum(pos * ((rows - allpos) - (taken - hits) + (n - pos) * 0.5)) / max(allpos * (rows - allpos)), 6) AS roc_auc, round(sum(pos / allpos * precision), 6) AS average_precision,
+  round(sum(pos / allpos * precision) / max(prevalence), 6) AS average_precision_lift, round(sum(pos * (1 - score) * (1 - score) + (n - pos) * score * score) / sum(n), 6) AS brier, round(sum(in_top) / max(top), 6) AS top_precision, round(sum(in_top) / max(allpos), 6) AS top_recall,
+  round(sum(in_top) / max(top) / max(prevalence), 6) AS top_lift, max(calibration_error) AS calibration_error FROM t, c""")
+def alg_22_exact_metrics(spark: SparkSession, folder: str) -> DataFrame:
+    """How well very small scores tell a stock-out, each for itself, with the lifts of average precision and the top tenth."""
+    return exact_metrics(_fine_points(spark, folder))
+
+
+@query(f"""WITH {_FINE}, h AS (SELECT *, precision / prevalence AS lift, CASE WHEN recall > 0 THEN 5 * precision * recall / (4 * precision + recall) ELSE 0 END AS f2, CASE WHEN prevalence < 0.005 THEN 5 WHEN prevalence < 0.02 THEN 3 ELSE 1.5 END AS needed FROM g),
+best AS (SELECT score FROM h WHERE recall >= 0.5 AND lift >= needed AND alert_rate <= 0.1 ORDER BY f2 DESC, lift DESC, alert_rate LIMIT 1),
+tenth AS (SELECT quantile_cont(greatest(0.0::DOUBLE, least(1.0::DOUBLE, requested_units / (requested_units + 7.0::DOUBLE) / 1000)), 0.9) AS score FROM demand_attempt WHERE requested_units > 0),
+chosen AS (SELECT coalesce((SELECT score FROM best), score) AS threshold, CASE WHEN (SELECT score FROM best) IS NULL THEN 'top_tenth' ELSE 'operating_point' END AS selection FROM tenth)
+SELECT selection, round(threshold, 9) AS threshold, round(precision, 6) AS precision, round(recall, 6) AS recall, round(alert_rate, 6) AS alert_rate, round(lift, 6) AS lift, round(f2, 6) AS f2 FROM h, chosen WHERE score >= threshold ORDER BY score LIMIT 1""")
+def alg_23_chosen_threshold(spark: SparkSession, folder: str) -> DataFrame:
+    """The score from which on to expect a stock-out, chosen for a rare event."""
+    return chosen_threshold(_fine_points(spark, folder))
