@@ -76,12 +76,37 @@ SELECT count(*) AS days, arg_min(requested_units, business_date) AS first_units,
   round(avg(CASE WHEN requested_units > 0 THEN round(fulfilled_units / requested_units, 6) END), 6) AS average_fill FROM w""")
 def q_trend_complete_days(spark: SparkSession, folder: str) -> DataFrame:
     """How demand changed over the complete days of the last 28 up to the last complete one."""
+    return _trend(_trend_days(spark, folder)).select("days", "first_units", "last_units", "change", "relative_change", "average_fill")
+
+
+@query(f"""{_COMPLETE}, k AS (SELECT * FROM days WHERE status = 'COMPLETE'), a AS (SELECT max(business_date) AS as_of FROM k), w AS (SELECT k.*, CASE WHEN requested_units > 0 THEN round(fulfilled_units / requested_units, 6) END AS fill FROM k, a WHERE business_date BETWEEN as_of - 27 AND as_of)
+SELECT count(*) AS days, arg_min(requested_units, business_date) AS first_units, arg_max(requested_units, business_date) AS last_units, arg_max(requested_units, business_date) - arg_min(requested_units, business_date) AS change,
+  CASE WHEN arg_min(requested_units, business_date) > 0 THEN round((arg_max(requested_units, business_date) - arg_min(requested_units, business_date)) / arg_min(requested_units, business_date), 6) END AS relative_change,
+  round(avg(fill), 6) AS average_fill, min(fill) AS least_fill, max(fill) AS greatest_fill,
+  min(business_date) FILTER (requested_units = (SELECT min(requested_units) FROM w))::VARCHAR AS least_day, min(requested_units) AS least_units,
+  min(business_date) FILTER (requested_units = (SELECT max(requested_units) FROM w))::VARCHAR AS greatest_day, max(requested_units) AS greatest_units FROM w""")
+def q_trend_summary(spark: SparkSession, folder: str) -> DataFrame:
+    """That change with the days of least and greatest demand, the first of equal ones, and the range of fill rates."""
+    return _trend(_trend_days(spark, folder))
+
+
+def _trend_days(spark: SparkSession, folder: str) -> DataFrame:
     complete = completeness(spark, folder, THIN).filter("status = 'COMPLETE'")
     last = complete.agg(F.max("business_date").alias("as_of"))  # one row
-    window = complete.join(F.broadcast(last), F.col("business_date").between(F.date_sub("as_of", 27), F.col("as_of")))
-    ends = window.agg(F.count(F.lit(1)).alias("days"), F.min_by("requested_units", "business_date").alias("first_units"), F.max_by("requested_units", "business_date").alias("last_units"), F.round(F.avg(rate(F.col("fulfilled_units"), F.col("requested_units"))), 6).alias("average_fill"))
+    return complete.join(F.broadcast(last), F.col("business_date").between(F.date_sub("as_of", 27), F.col("as_of")))
+
+
+def _trend(window: DataFrame) -> DataFrame:
+    """One row on the days of ``window``; days without units aren't among the least and greatest."""
+    units, day = F.col("requested_units"), F.col("business_date")
+    fill = rate(F.col("fulfilled_units"), units)
+    place = lambda order: F.when(units.isNotNull(), F.struct(units, order))
+    ends = window.agg(
+        F.count(F.lit(1)).alias("days"), F.min_by(units, day).alias("first_units"), F.max_by(units, day).alias("last_units"), F.round(F.avg(fill), 6).alias("average_fill"), F.min(fill).alias("least_fill"), F.max(fill).alias("greatest_fill"),
+        F.min_by(day, place(day)).cast("string").alias("least_day"), F.min(units).alias("least_units"), F.max_by(day, place(-F.unix_date(day))).cast("string").alias("greatest_day"), F.max(units).alias("greatest_units"),
+    )
     change = F.col("last_units") - F.col("first_units")
-    return ends.select("days", "first_units", "last_units", change.alias("change"), rate(change, F.col("first_units")).alias("relative_change"), "average_fill")
+    return ends.select("days", "first_units", "last_units", change.alias("change"), rate(change, F.col("first_units")).alias("relative_change"), "average_fill", "least_fill", "greatest_fill", "least_day", "least_units", "greatest_day", "greatest_units")
 
 
 _AGES = ", ".join(f"count(*) FILTER ({w}) AS attempts_{n}, coalesce(sum(requested_units) FILTER ({w}), 0)::BIGINT AS requested_{n}, coalesce(sum(fulfilled_units) FILTER ({w}), 0)::BIGINT AS fulfilled_{n}, count(*) FILTER ({w} AND outcome = 'OUT_OF_STOCK') AS stockouts_{n}" for n, w in (("7d", "transaction_ts >= as_of - INTERVAL 7 DAY"), ("28d", "true")))

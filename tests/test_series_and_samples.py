@@ -145,3 +145,14 @@ def test_numbers(spark):
     found = spark.createDataFrame([(float(x),) for x in xs], "x double").select("x", normal_cdf(F.col("x")).alias("p")).collect()
     assert all(abs(r["p"] - NormalDist().cdf(r["x"])) < 1e-7 for r in found)
     assert str(spark.range(1).select(half_up(F.lit("2.345").cast("decimal(10,3)"), 2)).first()[0]).startswith("2.35")
+
+
+def test_trend_has_the_first_days_of_least_and_greatest_demand(spark):
+    from ledgerloom.plans.serving_queries import _trend
+
+    days = [("2025-03-01", 5, 4), ("2025-03-02", 9, 9), ("2025-03-03", 2, 1), ("2025-03-04", 9, 3), ("2025-03-05", 2, 2), ("2025-03-06", None, None), ("2025-03-07", 6, 3)]
+    frame = spark.createDataFrame(days, "business_date string, requested_units long, fulfilled_units long").withColumn("business_date", F.to_date("business_date"))
+    found = _trend(frame).first()
+    assert (found["least_day"], found["least_units"], found["greatest_day"], found["greatest_units"]) == ("2025-03-03", 2, "2025-03-02", 9)
+    assert (found["days"], found["change"], found["least_fill"], found["greatest_fill"]) == (7, 1, 0.333333, 1.0)
+    assert _trend(frame.limit(0)).first()["least_day"] is None
