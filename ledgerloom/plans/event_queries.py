@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.identity import name_uuid
+from ..operators.event_builders import sale_events
 from ..operators.events import EVENT_TYPES, sorted_out, typed, validated
 from ..registry import query
 from ..session import table
@@ -110,10 +111,12 @@ def snk_13_dead_letters(spark: SparkSession, folder: str) -> DataFrame:
 
 @query()
 def snk_12_keyed_events(spark: SparkSession, folder: str) -> DataFrame:
-    """Demand attempts as keyed messages: key, value as JSON with its event id, and headers."""
+    """Demand attempts as keyed messages: key, value as JSON with its event id and correlation, and headers."""
+    renamed = {"demand_id": "demand_attempt_id", "basket_id": "linked_sale_id", "occurred_at": "transaction_ts", "requested_quantity": "requested_units", "fulfilled_quantity": "fulfilled_units", "lost_quantity": "lost_units", "fulfillment_status": "outcome"}
     rows = table(spark, folder, "demand_attempt").filter("demand_attempt_id IS NOT NULL")
-    body = F.struct(name_uuid("6ba7b811-9dad-11d1-80b4-00c04fd430c8", F.col("demand_attempt_id")).alias("event_id"), F.lit("sale.units_fulfilled").alias("event_type"), F.col("demand_attempt_id").alias("aggregate_id"), F.col("transaction_ts").alias("occurred_at"), F.struct("branch_id", "product_id", "requested_units", "fulfilled_units", "lost_units").alias("payload"))
-    return rows.filter("fulfilled_units > 0").select(F.col("demand_attempt_id").alias("key"), F.to_json(body).alias("value"), F.to_json(F.struct(F.lit("1.0").alias("schema_version"))).alias("headers"))
+    # the table has no channel
+    events = sale_events(rows.select("branch_id", "product_id", F.lit(None).cast("string").alias("channel"), *[F.col(c).alias(n) for n, c in renamed.items()]))
+    return events.select(F.col("aggregate_id").alias("key"), F.to_json(F.struct(*[c for c in events.columns if c != "schema_version"])).alias("value"), F.to_json(F.struct("schema_version")).alias("headers"))
 
 
 @query(f"""WITH {_SORTED} SELECT event_type, ((occurred_ts AT TIME ZONE 'UTC')::DATE)::VARCHAR AS event_date, count(*) AS rows, count(DISTINCT event_id) AS events, count(DISTINCT aggregate_id) AS aggregates FROM sorted GROUP BY 1, 2""")
