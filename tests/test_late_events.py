@@ -29,18 +29,35 @@ def test_beyond_the_cutoff_to_the_millisecond(spark, rows):
     assert rows(beyond_cutoff(frame(spark, RECORDS), ["topic", "place"])) == [("t", 2), ("t", 3), ("t", 5)]
 
 
-def test_refused_cells_are_those_of_the_whole_triangle(spark, rows, monkeypatch):
-    seen, joined = [], late_events.spread_join
-    monkeypatch.setattr(late_events, "spread_join", lambda many, one, *more: seen.append((many, one)) or joined(many, one, *more))
-    beyond_cutoff(frame(spark, RECORDS), ["topic", "place"])
-    (many, cells), = seen
-    assert many.count() == 7  # the readable records, those in time included
-    assert [tuple(map(str, r)) for r in rows(cells, "series", "event_day", "arrival_day", "arrived", "refused")] == [
-        ("None", "2025-01-01", "2025-02-01", "0", "1"),
-        ("a", "2025-01-01", "2025-01-04", "1", "2"),
+def test_refused_cells_are_those_of_the_whole_triangle(spark, rows):
+    records = frame(spark, RECORDS)
+    cells = spark.sql(late_events.triangle_sql("event_type", ["topic", "place"], "occurred_at", "recorded_at", late_events.CUTOFF_MS, 2**40), records=records)
+    assert cells.selectExpr("sum(arrived + refused)").first()[0] == 7  # the readable records, those in time included
+    refused = cells.filter("refused > 0").selectExpr("series", "event_day", "arrival_day", "arrived", "refused", "array_sort(transform(beyond_rows, r -> r.place)) AS places")
+    assert [tuple(map(str, r)) for r in rows(refused)] == [
+        ("None", "2025-01-01", "2025-02-01", "0", "1", "[5]"),
+        ("a", "2025-01-01", "2025-01-04", "1", "2", "[2, 3]"),
     ]
 
 
+def test_refused_records_come_from_the_cells(spark, monkeypatch):
+    whole = late_events.triangle_sql
+    monkeypatch.setattr(late_events, "triangle_sql", lambda *a, **k: f"SELECT * FROM ({whole(*a, **k)}) WHERE series IS NOT NULL")
+    assert {r[0] for r in beyond_cutoff(frame(spark, RECORDS), ["place"]).collect()} == {2, 3}
+
+
+def test_a_hot_cell_has_pieces(spark, rows):
+    hot = frame(spark, [RECORDS[2]] * 5000 + [RECORDS[0]] * 5000)
+    cells = spark.sql(late_events.triangle_sql("event_type", ["place"], "occurred_at", "recorded_at", late_events.CUTOFF_MS, 100), records=hot)
+    assert cells.selectExpr("max(size(beyond_rows))").first()[0] <= 100
+    assert rows(beyond_cutoff(hot, ["place"], piece_rows=100)) == rows(spark.range(5000).selectExpr("cast(id AS int)"))
+
+
+def test_one_scan_and_no_join(spark):
+    plan = beyond_cutoff(frame(spark, RECORDS), ["place"])._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Scan ") <= 1
+
+
 def test_every_revision_and_no_refused_record(spark, rows):
     found = rows(revisions(frame(spark, RECORDS)), "event_type", "event_day", "arrival_day", "arrived", "corrected_total", "revision", "is_latest")
     assert [tuple(map(str, r)) for r in found] == [
