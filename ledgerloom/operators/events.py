@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.temporal import utc_day, zoned_moment
-from .spread import spread_join
+from ..session import cut
+from .spread import parted, spread_join
 
 #: The event types with the domain of their topics and the columns of their payloads.
 EVENT_TYPES = {
@@ -83,20 +84,22 @@ def meaning_hash() -> Column:
 
 
 def sorted_out(valid: DataFrame, order: list[str]) -> DataFrame:
-    """Valid events with ``disposition``: canonical, duplicate or conflict.
+    """Valid events with ``meaning_sha256`` and ``disposition``: canonical, duplicate or conflict.
 
     An event_id with more than one meaning is a conflict, with all of its rows; else its first row by ``order`` (unique in
-    the table) is canonical and the others are duplicates. Counts and firsts combine on the map side, and a hot event_id is
-    spread over tasks when its rows are looked up; the frequencies decide for single ones without a lookup.
+    the table) is canonical and the others are duplicates. Identifiers are counted first: events that are alone are
+    canonical; only the meanings of repeated ones are compared and their rows ranked. Counts, firsts and meanings combine
+    on the map side, and a hot event_id is spread over tasks when its rows are looked up.
     """
-    place = F.struct(*order)
-    hashed = valid.withColumn("meaning_sha256", meaning_hash())
-    keyed = hashed.withColumn("place", place)
-    seen = keyed.groupBy(F.col("event_id").alias("seen_id")).agg(F.count(F.lit(1)).alias("copies"), F.min("meaning_sha256").alias("least"), F.max("meaning_sha256").alias("greatest"), F.min("place").alias("first"))
-    repeated = seen.filter("copies > 1").select(F.col("seen_id").alias("event_id"), "copies", (F.col("least") != F.col("greatest")).alias("differs"), "first")
-    looked_up = spread_join(keyed, repeated, ["event_id"], "copies", "left", rare=True)
+    repeated = cut(valid.groupBy("event_id").agg(F.count(F.lit(1)).alias("copies")).filter("copies > 1"))
+    near, far = parted(valid, repeated, ["event_id"])
+    near = cut(spread_join(near, repeated.withColumn("several", F.lit(True)), ["event_id"], "copies", "left", written=True))
+    alone = far.unionByName(near.filter("several IS NULL").drop("several")).withColumns({"meaning_sha256": meaning_hash(), "disposition": F.lit("canonical")})
+    groups = near.filter("several").drop("several").withColumns({"meaning_sha256": meaning_hash(), "place": F.struct(*order)})
+    seen = groups.groupBy("event_id").agg(F.count(F.lit(1)).alias("copies"), (F.min("meaning_sha256") != F.max("meaning_sha256")).alias("differs"), F.min("place").alias("first"))
     kind = F.when(F.col("differs"), "conflict").when(F.col("place") != F.col("first"), "duplicate").otherwise("canonical")
-    return looked_up.withColumn("disposition", kind).drop("place", "differs", "first")
+    judged = spread_join(groups, seen, ["event_id"], "copies").withColumn("disposition", kind).drop("place", "differs", "first")
+    return alone.unionByName(judged)
 
 
 def payload_checks(event_type: str) -> list[Check]:

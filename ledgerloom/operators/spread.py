@@ -17,29 +17,40 @@ ROWS_A_TASK = 1_000_000
 SIEVE_WORDS = (2**8, 2**18)
 
 
-def spread_join(many: DataFrame, one: DataFrame, on: list[str], weight: str, how: str = "inner", rows_a_task: int = ROWS_A_TASK, rare: bool = False) -> DataFrame:
+def spread_join(many: DataFrame, one: DataFrame, on: list[str], weight: str, how: str = "inner", rows_a_task: int = ROWS_A_TASK, rare: bool = False, written: bool = False) -> DataFrame:
     """``many`` joined with ``one`` on equal keys (null equals null); ``how`` is inner, left or left_semi.
 
     ``one`` has each key once, with the number of rows of ``many`` that it meets in ``weight``. It is written to the shared
-    folder first, so its own making isn't part of the join and Spark knows its size. Keys that meet more than
+    folder first (unless it is ``written``), so its own making isn't part of the join and Spark knows its size. Keys that meet more than
     ``rows_a_task`` are split: their rows get a part by hash, and the key a copy for each part. The keys that are split are
     broadcast to give the parts; there are at most as many as rows of ``many`` over ``rows_a_task``.
     With ``rare``, few rows of ``many`` have a partner: a bit sieve of the keys (bounded, see SIEVE_WORDS) tells most
     others before any shuffle; what passes it by chance just has no partner in the join, so the result is the same.
     ``many`` must have no columns named as those of ``one``, except the keys.
     """
-    one = cut(one)
+    one = one if written else cut(one)
     found = one.agg(F.max(weight), F.count(F.lit(1))).first()
     kept = [c for c in one.columns if c not in on and c != weight]
-    if rare:
-        test, sieve = _sieve(one, on, found[1])
-        split = lambda condition: many.sparkSession.sql(f"SELECT * FROM {{many}} WHERE {condition}", many=many, sieve=sieve)
-        joined = _joined(split(test), one, on, weight, how, rows_a_task, found[0] or 0, kept)
-        if how != "left":
-            return joined
-        types = dict(one.dtypes)
-        return joined.unionByName(split(f"NOT ({test})").select("*", *[F.lit(None).cast(types[c]).alias(c) for c in kept]))
-    return _joined(many, one, on, weight, how, rows_a_task, found[0] or 0, kept)
+    near, far = _parted(many, one, on, found[1]) if rare else (many, None)
+    joined = _joined(near, one, on, weight, how, rows_a_task, found[0] or 0, kept)
+    if far is None or how != "left":
+        return joined
+    types = dict(one.dtypes)
+    return joined.unionByName(far.select("*", *[F.lit(None).cast(types[c]).alias(c) for c in kept]))
+
+
+def parted(many: DataFrame, one: DataFrame, on: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``many`` that may have a partner in ``one``, which is written, and those that surely have none.
+
+    Of rows without a partner about one in 70 is among the former. Both read ``many``; nothing is shuffled.
+    """
+    return _parted(many, one, on, one.count())
+
+
+def _parted(many: DataFrame, one: DataFrame, on: list[str], keys: int) -> tuple[DataFrame, DataFrame]:
+    test, sieve = _sieve(one, on, keys)
+    split = lambda condition: many.sparkSession.sql(f"SELECT * FROM {{many}} WHERE {condition}", many=many, sieve=sieve)
+    return split(test), split(f"NOT ({test})")
 
 
 def _sieve(one: DataFrame, on: list[str], keys: int) -> tuple[str, DataFrame]:
