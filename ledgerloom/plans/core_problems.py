@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import column_profile as cp
-from ..operators.even_totals import heavy_keys, key_totals
+from ..operators.even_totals import heavy_keys, key_totals, totals_once
 from ..operators.known_time import known_at
 from ..operators.late_events import beyond_cutoff, revisions
 from ..operators.single_delivery import repeated_deliveries, single_deliveries
@@ -96,7 +96,9 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
 def p4_single_deliveries(spark: SparkSession, folder: str) -> DataFrame:
     """One record of each event, stored batches and the newest one together."""
     records = table(spark, folder, "bronze_event")
-    return single_deliveries(records, order=["kafka_timestamp", *POSITION]).select(*POSITION, "event_id", "recorded_at")
+    newest = records.agg(F.max("batch_id").alias("b")).first()["b"]
+    stored, new = records.filter(~F.coalesce(F.col("batch_id") == newest, F.lit(False))), records.filter(F.col("batch_id") == newest)
+    return single_deliveries(stored, new, order=["kafka_timestamp", *POSITION]).select(*POSITION, "event_id", "recorded_at")
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -105,12 +107,19 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
+_SOLD = (("sale_line", "product_id", "sale_line_id"), ("sale_header", "branch_id", "sale_id"))
+_AMOUNTS = ["net_sales_egp", "gross_profit_egp"]
+
+
 def p5_sales_totals(spark: SparkSession, folder: str) -> DataFrame:
+    """Sales totals per product and branch, rows as delivered."""
+    parts = [key_totals(table(spark, folder, name), key, _AMOUNTS).select(F.lit(name).alias("table_name"), F.lit(key).alias("column_name"), "*") for name, key, _ in _SOLD]
+    return parts[0].unionByName(parts[1])
+
+
+def p5_totals_of_reloads_once(spark: SparkSession, folder: str) -> DataFrame:
     """Sales totals per product and branch, reloaded rows once."""
-    parts = []
-    for name, key, row_id in (("sale_line", "product_id", "sale_line_id"), ("sale_header", "branch_id", "sale_id")):
-        totals = key_totals(table(spark, folder, name), key, ["net_sales_egp", "gross_profit_egp"], once_by=row_id)
-        parts.append(totals.select(F.lit(name).alias("table_name"), F.lit(key).alias("column_name"), "*"))
+    parts = [totals_once(table(spark, folder, name), key, _AMOUNTS, row_id).select(F.lit(name).alias("table_name"), F.lit(key).alias("column_name"), "*") for name, key, row_id in _SOLD]
     return parts[0].unionByName(parts[1])
 
 
@@ -119,4 +128,4 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return known_at(table(spark, folder, "demand_attempt"), table(spark, folder, "product_price_history"), "demand_attempt_id", "product_id", "transaction_ts", "price_observation_id", "price_egp", "observed_at", "loaded_at")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_column_profile, p1_aggregates, p1_expressions, p2_found, p2_revisions, p3_found, p3_trailing_totals, p4_found, p4_single_deliveries, p5_found, p5_sales_totals, p6_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_column_profile, p1_aggregates, p1_expressions, p2_found, p2_revisions, p3_found, p3_trailing_totals, p4_found, p4_single_deliveries, p5_found, p5_sales_totals, p5_totals_of_reloads_once, p6_found)}

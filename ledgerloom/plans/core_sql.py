@@ -77,7 +77,11 @@ SELECT event_type, event_day::VARCHAR AS event_day, arrival_day::VARCHAR AS arri
     "p4_single_deliveries": f"{_COPIES} SELECT kafka_topic, kafka_partition, kafka_offset, event_id, recorded_at FROM ranked WHERE uid IS NULL OR uid = '' OR copy = 1",
     "p5_found": """SELECT 'sale_line' AS table_name, 'product_id' AS column_name, product_id AS key_value FROM sale_line WHERE product_id IS NOT NULL GROUP BY product_id HAVING count(*) * 25 >= (SELECT count(*) FROM sale_line)
 UNION ALL SELECT 'sale_header', 'branch_id', branch_id FROM sale_header WHERE branch_id IS NOT NULL GROUP BY branch_id HAVING count(*) * 25 >= (SELECT count(*) FROM sale_header)""",
-    "p5_sales_totals": _SALES.format(table="sale_line", key="product_id", id="sale_line_id") + " UNION ALL " + _SALES.format(table="sale_header", key="branch_id", id="sale_id"),
+    "p5_sales_totals": " UNION ALL ".join(
+        f"SELECT '{t}' AS table_name, '{k}' AS column_name, {k} AS key_value, count(*) AS row_count, sum(net_sales_egp) AS net_sales_egp, sum(gross_profit_egp) AS gross_profit_egp FROM {t} WHERE {k} IS NOT NULL GROUP BY {k}"
+        for t, k in (("sale_line", "product_id"), ("sale_header", "branch_id"))
+    ),
+    "p5_totals_of_reloads_once": _SALES.format(table="sale_line", key="product_id", id="sale_line_id") + " UNION ALL " + _SALES.format(table="sale_header", key="branch_id", id="sale_id"),
     "p6_found": """SELECT DISTINCT demand_attempt_id, price_observation_id FROM (
   SELECT a.demand_attempt_id, p.price_observation_id, row_number() OVER (PARTITION BY a.demand_attempt_id, a.transaction_ts, a.product_id ORDER BY p.observed_at DESC, p.loaded_at DESC, p.price_observation_id DESC) AS k
   FROM (SELECT DISTINCT demand_attempt_id, product_id, transaction_ts FROM demand_attempt WHERE demand_attempt_id IS NOT NULL) AS a

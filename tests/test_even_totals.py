@@ -1,6 +1,6 @@
 from decimal import Decimal
 
-from ledgerloom.operators.even_totals import heavy_keys, key_totals
+from ledgerloom.operators.even_totals import heavy_keys, key_totals, totals_once
 
 SCHEMA = "id string, product string, amount decimal(16,2), quantity int, key_value string, row_count int"
 
@@ -14,7 +14,7 @@ RECORDS = [("1", "p", "1.10", 1), ("1", "p", "1.10", 1), ("2", "p", None, 2), (N
 
 def test_totals_as_delivered_and_once(spark, rows):
     assert rows(key_totals(frame(spark, RECORDS), "product", ["amount", "quantity"])) == [("p", 5, Decimal("8.20"), 6), ("q", 1, None, None)]
-    assert rows(key_totals(frame(spark, RECORDS), "product", ["amount", "quantity"], once_by="id")) == [("p", 4, Decimal("7.10"), 5), ("q", 1, None, None)]
+    assert rows(totals_once(frame(spark, RECORDS), "product", ["amount", "quantity"], "id")) == [("p", 4, Decimal("7.10"), 5), ("q", 1, None, None)]
 
 
 def test_heavy_keys_count_null_keys_in_the_whole(spark, rows):
