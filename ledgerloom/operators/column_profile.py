@@ -12,7 +12,7 @@ from .spread import spread_join
 
 # Signs of an expression besides the characters that stand for themselves. Letters and digits never stand for themselves.
 UPPER, LOWER, LETTER, DIGIT, SPACE = "A", "a", "b", "9", " "
-AGAIN, ABSENT, ABOUT, ZERO, WORD, NUMBER, OPEN, CLOSE, LOOSE = (chr(0xE000 + i) for i in range(9))
+AGAIN, ABSENT, ABOUT, ZERO, WORD, NUMBER, OPEN, CLOSE, LOOSE, NOTHING, ANYTHING, LEADING = (chr(0xE000 + i) for i in range(12))
 
 #: Words and abbreviations that say a value is absent, unknown or not yet known, or fill its place.
 ABSENCE = (
@@ -30,6 +30,11 @@ SUBJECT = ("manufacturer", "maker", "producer", "company", "supplier", "vendor",
 #: Fixed value: a JSON object whose values are all numbers in plain digits. Possessive, so that long texts need no stack.
 PLAIN_COUNTS = r"""^[ \t\n\r]*+\{[ \t\n\r]*+(?:"(?:[^"\\\x00-\x1f]|\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4}))*+"[ \t\n\r]*+:[ \t\n\r]*+(?:0|[1-9][0-9]*+)[ \t\n\r]*+(?:,[ \t\n\r]*+"(?:[^"\\\x00-\x1f]|\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4}))*+"[ \t\n\r]*+:[ \t\n\r]*+(?:0|[1-9][0-9]*+)[ \t\n\r]*+)*+)?\}[ \t\n\r]*+\z"""
 
+_GAP = f"(?:{LOOSE}| {AGAIN}?)*+"
+_PAIR = rf'{_GAP}"(?:[Aab9_.\-{WORD}{NUMBER}]{AGAIN}?)*+"{_GAP}:{_GAP}(?:9++{AGAIN}?|{NUMBER}){_GAP}'
+#: The same in the signs of expressions, for texts without escapes and odd keys; other expressions leave it to the value.
+PLAIN_COUNT_SIGNS = rf"^{_GAP}\{{(?:{_GAP}|(?:{OPEN}{_PAIR},{_GAP}{CLOSE})?{_PAIR}(?:,{_PAIR})*)\}}{_GAP}\z"
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -39,6 +44,7 @@ class Rule:
     above: float | None = None  #: numbers must be greater
     at_most: float | None = None  #: and not greater than this
     pattern: str | None = None  #: texts must match
+    sound: str | None = None  #: expressions, in signs, under which every text does
     names: bool = False  #: texts must name something, not say that the name is absent
     level_factor: float | None = None  #: a load whose median is off the median load's by more than this factor is out of order
     broken_share: float | None = None  #: as is a load with a greater share of broken values
@@ -65,22 +71,42 @@ def _token(words: tuple[str, ...]) -> str:
     return r"(?iU)(?<![\p{L}\p{N}])(?:" + "|".join(w.replace(" ", r"\s+") for w in words) + r")(?![\p{L}\p{N}])"
 
 
+def _number(rule: Rule) -> bool:
+    return rule.above is not None or rule.at_most is not None
+
+
+_ALL_ZERO = r"(?<![\p{L}\p{N}])0+(?![\p{L}\p{N}])"
+
+
 def _shapes(values: DataFrame, rules: list[Rule]) -> DataFrame:
-    """Three expressions for each value, each more general: by character, by run, by word, loose spacing and repeated unit."""
-    plain = F.regexp_replace("value", r"[\x{E000}-\x{E008}]", chr(0xFFFD))
-    words = F.regexp_replace(F.regexp_replace(F.regexp_replace(plain, _token(ABSENCE), ABSENT), _token(SUBJECT), ABOUT), r"(?<![\p{L}\p{N}])0+(?![\p{L}\p{N}])", ZERO)
-    text = _per_rule(rules, lambda r: words if r.names else None, plain)
-    for classes, sign in ((r"\p{Lu}", UPPER), (r"\p{Ll}", LOWER), (r"\p{L}(?<![Aa])", LETTER), (r"\p{N}", DIGIT), (r"(?U)\s", SPACE)):
+    """Three expressions for each value, each more general: by character, by run, by word, loose spacing and repeated unit.
+
+    Where a name is asked for, texts that only say that there is none share one expression at the last level.
+    """
+    plain = F.regexp_replace("value", rf"[{AGAIN}-{LEADING}]", chr(0xFFFD))
+    words = F.regexp_replace(F.regexp_replace(F.regexp_replace(plain, _token(ABSENCE), ABSENT), _token(SUBJECT), ABOUT), _ALL_ZERO, ZERO)
+    text = _per_rule(rules, lambda r: words if r.names else F.regexp_replace(plain, _ALL_ZERO, ZERO) if _number(r) else None, F.regexp_replace(plain, "(?<![0-9])0(?=[0-9])", LEADING))
+    for classes, sign in ((r"\p{Lu}", UPPER), (r"\p{Ll}", LOWER), ("[0-9]", DIGIT), (r"[\p{L}\p{N}](?<![Aa9])", LETTER), (r"[ \t\n\r]", SPACE)):
         text = F.regexp_replace(text, classes, sign)
     with_1 = values.withColumn("shape_1", text)
     with_2 = with_1.withColumn("shape_2", F.regexp_replace("shape_1", r"(.)\1+", "$1" + AGAIN))
     merged = F.regexp_replace(F.regexp_replace("shape_2", f"(?:[Aab_]{AGAIN}?+)++", WORD), f"9{AGAIN}?+", NUMBER)
     loose = F.regexp_replace(merged, rf"(?: {AGAIN}?)?([,:;{{}}\[\]])(?: {AGAIN}?)?", f"{LOOSE}$1{LOOSE}")
-    return with_2.withColumn("words_3", loose).withColumn("shape_3", F.regexp_replace("words_3", r"(.{2,24}?)\1+", OPEN + "$1" + CLOSE))
+    with_3 = with_2.withColumn("words_3", loose).withColumn("nameless", _per_rule(rules, lambda r: _says_nothing(F.col("shape_1")) if r.names else None, F.lit(False)))
+    return with_3.withColumn("shape_3", F.when(F.col("nameless"), NOTHING).otherwise(F.regexp_replace("words_3", r"(.{2,24}?)\1+", OPEN + "$1" + CLOSE)))
+
+
+def _says_nothing(sign: Column) -> Column:
+    """Whether an expression has no sign for letters and digits but those of words of absence."""
+    own = sign.rlike(f"[Aab9{WORD}{NUMBER}{ANYTHING}]")
+    return ~own & (sign.contains(ABSENT) | sign.contains(NOTHING) | ~sign.contains(ABOUT))
 
 
 def _bits(values: DataFrame) -> DataFrame:
-    """Bits to write each value: under each of its expressions, under any text, and in full as an exception."""
+    """Bits to write each value: under each of its expressions, under any text, and in full as an exception.
+
+    A word of absence has no more bits than its sign saves, so a text that says nothing is never an exception.
+    """
     count = lambda sign, shape="shape_1": F.length(shape) - F.length(F.regexp_replace(shape, sign, ""))
     chars = count("[Aa]") * 4.7 + count("b") * 6.6 + count("9") * 3.32 + count(ABSENT) * 5.0 + count(ABOUT) * 4.0
     runs = count(AGAIN, "shape_2") * 4.0
@@ -88,9 +114,9 @@ def _bits(values: DataFrame) -> DataFrame:
     return values.withColumns({
         "bits_1": chars,
         "bits_2": chars + runs,
-        "bits_3": chars + runs + count(WORD, "words_3") * 2.0 + count(LOOSE, "words_3") * 0.5 + (F.length("words_3") - F.length("shape_3")) * 0.1,
+        "bits_3": F.when(F.col("nameless"), F.length("shape_1") * 5.0).otherwise(chars + runs + count(WORD, "words_3") * 2.0 + count(LOOSE, "words_3") * 0.5 + (F.length("words_3") - F.length("shape_3")) * 0.1),
         "bits_4": size * 7.0 + 8.0,
-        "bits_0": size * 8.0 + 12.0,
+        "bits_0": size * 8.0 + 16.0,
     })
 
 
@@ -99,73 +125,101 @@ def induce(counts: DataFrame, rules: list[Rule]) -> DataFrame:
 
     The expressions of a column form a tree (by character, run, word, any text). A set of them, with the remaining values
     written in full, is a description of all distinct values; of all such cuts of the tree the one with the fewest bits (8 a
-    sign of an expression, 16 an expression, which expression each value has, and its own bits given that) is found
-    bottom-up, level by level, with one aggregation each: nothing is gathered or sampled. Columns: column_name, value, row_count, shape_1, ``sign``
-    (expression in signs) and ``expression`` (as a regular expression), both null for exceptions: nonconforming values.
+    sign of an expression, 8 an expression, which expression each value has, and its own bits given that; an exception
+    costs the bits that tell one among all values, 16, and its bytes) is found bottom-up, level by level, with one
+    aggregation each: nothing is gathered or sampled. Columns: column_name, value, row_count, shape_1, ``sign`` (expression
+    in signs) and ``expression`` (as a regular expression), both null for exceptions: nonconforming values.
     """
     distinct = counts.filter(F.col("value").isNotNull()).groupBy("column_name", "value").agg(F.sum("row_count").alias("row_count"))
+    return _induced(distinct, rules).select("column_name", "value", "row_count", "shape_1", "sign", "expression")
+
+
+def _induced(distinct: DataFrame, rules: list[Rule]) -> DataFrame:
+    """``distinct`` (one row a column and value, row_count and other columns beside them) with shape_1, sign and expression."""
     # written once: each level of the tree reads it
     shaped = cut(_bits(_shapes(distinct, rules)))
+    # one number a column
+    sizes = {r["column_name"]: float(r["n"]) for r in shaped.groupBy("column_name").agg(F.count("value").alias("n")).collect()}
+    values = _per_rule(rules, lambda r: F.lit(sizes.get(r.column, 1.0)), F.lit(1.0))
     sums = lambda *names: [F.sum(n).alias(n) for n in (*names, "members")]
-    several = F.max("values").alias("values")
-    # 8 bits a sign, 16 an expression, and for each of its values which expression it is
-    code = lambda shape, bits: F.length(shape) * 8.0 + 16.0 + F.col(bits) + F.col("members") * F.log2(F.col("values") / F.col("members"))
-    # one row a column
-    sizes = shaped.groupBy("column_name").agg(F.count(F.lit(1)).alias("values"))
-    level_1 = shaped.withColumn("members", F.lit(1)).groupBy("column_name", "shape_3", "shape_2", "shape_1").agg(*sums("bits_0", "bits_1", "bits_2", "bits_3", "bits_4")).join(sizes, "column_name")
-    level_1 = level_1.withColumn("cost", code("shape_1", "bits_1")).withColumn("take_1", F.col("cost") < F.col("bits_0")).withColumn("best", F.least("cost", "bits_0"))
-    level_2 = level_1.groupBy("column_name", "shape_3", "shape_2").agg(*sums("best", "bits_2", "bits_3", "bits_4"), several)
+    # 8 bits an expression and a sign of it, and for each of its values which expression it is
+    code = lambda shape, bits: F.length(shape) * 8.0 + 8.0 + F.col(bits) + F.col("members") * F.log2(values / F.col("members"))
+    own = F.col("bits_0") + F.col("members") * F.log2(F.greatest(values, F.lit(1.0)))
+    level_1 = shaped.filter(F.col("value").isNotNull()).withColumn("members", F.lit(1)).groupBy("column_name", "shape_3", "shape_2", "shape_1").agg(*sums("bits_0", "bits_1", "bits_2", "bits_3", "bits_4"))
+    level_1 = level_1.withColumn("cost", code("shape_1", "bits_1")).withColumn("take_1", F.col("cost") < own).withColumn("best", F.least("cost", own))
+    level_2 = level_1.groupBy("column_name", "shape_3", "shape_2").agg(*sums("best", "bits_2", "bits_3", "bits_4"))
     level_2 = level_2.withColumn("cost", code("shape_2", "bits_2")).withColumn("take_2", F.col("cost") < F.col("best")).withColumn("best", F.least("cost", "best"))
-    level_3 = level_2.groupBy("column_name", "shape_3").agg(*sums("best", "bits_3", "bits_4"), several)
+    level_3 = level_2.groupBy("column_name", "shape_3").agg(*sums("best", "bits_3", "bits_4"))
     level_3 = level_3.withColumn("cost", code("shape_3", "bits_3")).withColumn("take_3", F.col("cost") < F.col("best")).withColumn("best", F.least("cost", "best"))
-    root = level_3.groupBy("column_name").agg(*sums("best", "bits_4")).select("column_name", (F.col("bits_4") + 32.0 < F.col("best")).alias("take_4"))
+    # any text has something of its own: texts that say nothing aren't merged with names. One row a column
+    root = level_3.filter(F.col("shape_3") != NOTHING).groupBy("column_name").agg(*sums("best", "bits_4")).select("column_name", (F.col("bits_4") + 32.0 < F.col("best")).alias("take_4"))
     choice = (
         level_1.select("column_name", "shape_1", "shape_2", "shape_3", "take_1", "members")
         .join(level_2.select("column_name", "shape_2", "shape_3", "take_2"), ["column_name", "shape_2", "shape_3"])
         .join(level_3.select("column_name", "shape_3", "take_3"), ["column_name", "shape_3"])
-        .join(root, "column_name")
+        .join(F.broadcast(root), "column_name", "left")
     )
-    sign = F.when(F.col("take_4"), ".*").when(F.col("take_3"), F.col("shape_3")).when(F.col("take_2"), F.col("shape_2")).when(F.col("take_1"), F.col("shape_1"))
-    choice = choice.select("column_name", "shape_1", "members", sign.alias("sign"), _as_regex(sign, F.col("take_4")).alias("expression"))
+    anything = F.coalesce("take_4", F.lit(False)) & (F.col("shape_3") != NOTHING)
+    sign = F.when(anything, ANYTHING).when(F.col("take_3"), F.col("shape_3")).when(F.col("take_2"), F.col("shape_2")).when(F.col("take_1"), F.col("shape_1"))
+    choice = choice.select("column_name", "shape_1", "members", sign.alias("sign"), _as_regex(sign).alias("expression"))
     # a shape may be that of most values
-    return spread_join(shaped.select("column_name", "value", "row_count", "shape_1"), choice, ["column_name", "shape_1"], "members")
+    return spread_join(shaped.select(*distinct.columns, "shape_1"), choice, ["column_name", "shape_1"], "members", "left")
 
 
-def _as_regex(sign: Column, anything: Column) -> Column:
+def _as_regex(sign: Column) -> Column:
     text = F.regexp_replace(sign, r"([\\.\[\]{}()*+?^$|])", r"\\$1")
     text = F.regexp_replace(text, "[Aab9 ]", r"\\$0")  # marks the signs; what follows names them
-    for mark, regex in ((r"\\A", r"\p{Lu}"), (r"\\a", r"\p{Ll}"), (r"\\b", r"\p{L}"), (r"\\9", r"\p{N}"), (r"\\ ", r"\s"), (AGAIN, "+"), (ZERO, "0+"), (NUMBER, r"\p{N}+"), (WORD, r"[\p{L}_]+"), (LOOSE, r"\s*"), (OPEN, "(?:"), (CLOSE, ")+"), (ABSENT, "(?:" + "|".join(ABSENCE) + ")"), (ABOUT, "(?:" + "|".join(SUBJECT) + ")")):
-        text = F.replace(text, F.lit(mark.replace(r"\\", "\\")), F.lit(regex))
-    return F.when(anything, "(?s).*").otherwise(F.concat(F.lit("^"), text, F.lit("\\z")))
-
-
-def judged(counts: DataFrame, rules: list[Rule], induced: DataFrame | None = None) -> DataFrame:
-    """``value_counts()`` with each value's expression, ``conforms`` and ``broken`` (against its column's rule).
-
-    A value names nothing if its expression has no sign for letters and digits left besides words that say so. Range and
-    pattern are judged exactly. A null value has no expression, conforms to none and breaks every rule.
+    absent, about = ("(?iU:" + "|".join(w.replace(" ", r"\s+") for w in words) + ")" for words in (ABSENCE, SUBJECT))
+    for mark, regex in (
+        ("\\A", r"\p{Lu}"), ("\\a", r"\p{Ll}"), ("\\b", r"[\p{L}\p{N}]"), ("\\9", "[0-9]"), ("\\ ", r"[ \t\n\r]"), (AGAIN, "+"), (ZERO, "0+"), (LEADING, "0"), (NUMBER, "[0-9]+"), (WORD, r"[\p{L}\p{N}_]+"), (LOOSE, r"[ \t\n\r]*"), (OPEN, "(?:"), (CLOSE, ")+"),
+        (ABSENT, absent), (ABOUT, about), (NOTHING, rf"(?:[^\p{{L}}\p{{N}}]|0|{absent}|{about})*"), (ANYTHING, "(?s:.*)"),
+    ):
+        text = F.replace(text, F.lit(mark), F.lit(regex))
+    return F.concat(F.lit("^"), text, F.lit("\\z"))
+
+
+def valued(counts: DataFrame, rules: list[Rule], induced=_induced) -> DataFrame:
+    """One row a column and distinct value of ``value_counts()``: its expression, ``conforms``, ``broken``, and its ``loads``.
+
+    The chosen expression decides: a text names nothing if its expression says so, and what stands under an expression
+    that admits only sound numbers or texts is sound. Values under other expressions, and those that conform to none, are
+    checked exactly against the range and the pattern. A null value has no expression, conforms to none and breaks every
+    rule. ``loads`` holds the rows in each load; there are as many entries as loads have the value.
     """
-    induced = induce(counts, rules) if induced is None else induced
+    distinct = counts.groupBy("column_name", "value").agg(F.sum("row_count").alias("row_count"), F.collect_list(F.struct("load", "row_count")).alias("loads"))
     number = F.col("value").try_cast("decimal(38,6)")
+    sign = F.coalesce("sign", F.lit(""))
 
     def broken(rule: Rule) -> Column:
-        checks = [F.lit(False)]
-        if rule.above is not None:
-            checks.append(~F.coalesce(number > F.lit(rule.above).cast("decimal(38,6)"), F.lit(False)))
-        if rule.at_most is not None:
-            checks.append(~F.coalesce(number <= F.lit(rule.at_most).cast("decimal(38,6)"), F.lit(False)))
+        if rule.names:
+            return F.col("sign").isNotNull() & _says_nothing(sign)
+        checks, sound = [], F.lit(False)
+        if _number(rule):
+            digits = len(str(int(rule.at_most))) - 1 if rule.at_most is not None else None
+            if (rule.above is None or rule.above <= 0) and digits != 0:
+                sound = sign.rlike(rf"^(?:9{{1,{digits or ''}}}|{ZERO})(?:\.(?:9+|{ZERO}))?\z") & sign.contains("9")
+            checks += [~F.coalesce(number > F.lit(rule.above).cast("decimal(38,6)"), F.lit(False))] if rule.above is not None else []
+            checks += [~F.coalesce(number <= F.lit(rule.at_most).cast("decimal(38,6)"), F.lit(False))] if rule.at_most is not None else []
         if rule.pattern is not None:
+            sound = sign.rlike(rule.sound) if rule.sound else F.lit(False)
             checks.append(~F.col("value").rlike(rule.pattern))
-        if rule.names:
-            checks.append(~F.col("shape_1").rlike("[Aab9]") & (F.col("shape_1").contains(ABSENT) | ~F.col("shape_1").contains(ABOUT)))
-        verdict = checks[0]
-        for check in checks[1:]:
+        verdict = F.lit(False)
+        for check in checks:
             verdict = verdict | check
-        return verdict
+        return F.when(sound, False).otherwise(verdict)
+
+    known = induced(distinct, rules)
+    return known.select("column_name", "value", "row_count", "loads", "sign", "expression", F.col("sign").isNotNull().alias("conforms"), F.coalesce(_per_rule(rules, broken, F.lit(False)), F.lit(True)).alias("broken")).withColumn("broken", F.col("broken") | F.col("value").isNull())
+
+
+def by_load(values: DataFrame) -> DataFrame:
+    """``valued()`` with one row a load."""
+    return values.withColumn("in_load", F.explode("loads")).select("in_load.load", "column_name", "value", F.col("in_load.row_count").alias("row_count"), "sign", "expression", "conforms", "broken")
+
 
-    known = induced.select("column_name", "value", "sign", "expression", F.col("sign").isNotNull().alias("conforms"), _per_rule(rules, broken, F.lit(False)).alias("broken"))
-    joined = counts.join(known, ["column_name", "value"], "left")
-    return joined.select("load", "column_name", "value", "row_count", "sign", "expression", F.coalesce("conforms", F.lit(False)).alias("conforms"), F.coalesce("broken", F.lit(True)).alias("broken"))
+def judged(counts: DataFrame, rules: list[Rule]) -> DataFrame:
+    """``value_counts()`` with each value's expression, ``conforms`` and ``broken`` (against its column's rule), as valued() has them."""
+    return by_load(valued(counts, rules))
 
 
 def profile(values: DataFrame, rules: list[Rule]) -> DataFrame:
@@ -200,9 +254,10 @@ def load_figures(values: DataFrame, rules: list[Rule]) -> DataFrame:
         F.sum(F.when(~F.col("conforms") & F.col("value").isNotNull(), F.col("row_count")).otherwise(0)).alias("nonconforming_rows"),
         F.max(F.when(F.col("value").isNotNull(), F.col("row_count")).otherwise(0)).alias("most_of_one"),
     )
+    # one row a column
     middle = by_load.groupBy("column_name").agg(F.percentile("median", F.lit(0.5)).alias("middle"))
     share = lambda c: F.col(c) / F.col("rows")
-    full = by_load.join(middle, "column_name").withColumn("level", F.try_divide("median", "middle"))
+    full = by_load.join(F.broadcast(middle), "column_name").withColumn("level", F.try_divide("median", "middle"))
 
     def wrong(rule: Rule) -> Column:
         checks = F.lit(False)
@@ -220,25 +275,31 @@ def load_figures(values: DataFrame, rules: list[Rule]) -> DataFrame:
 def coverage(values: DataFrame) -> DataFrame:
     """(column_name, load, sign, covered, share): rows of each load under each expression; null: nulls and exceptions."""
     covered = values.groupBy("column_name", "load", "sign").agg(F.sum("row_count").alias("covered"))
-    loads = covered.groupBy("column_name", "load").agg(F.sum("covered").alias("rows"))
-    pair = loads.select(F.col("column_name").alias("c"), F.col("load").alias("l"), "rows")
-    return covered.join(pair, (F.col("column_name") == F.col("c")) & F.col("load").eqNullSafe(F.col("l"))).select("column_name", "load", "sign", "covered", (F.col("covered") / F.col("rows")).alias("share"))
+    # one row a column, load and expression
+    return covered.withColumn("share", F.col("covered") / F.sum("covered").over(Window.partitionBy("column_name", "load")))
 
 
 def _shifts(values: DataFrame) -> DataFrame:
     """Half the summed differences of coverage: from the load before and from the column as a whole."""
-    each = coverage(values)
-    whole = each.groupBy("column_name", "sign").agg(F.sum("covered").alias("total"))
-    sums = whole.groupBy("column_name").agg(F.sum("total").alias("all_rows"))
-    whole = whole.join(sums, "column_name").select(F.col("column_name").alias("wc"), F.col("sign").alias("ws"), (F.col("total") / F.col("all_rows")).alias("usual"))
-    # one row a column and load
-    order = each.select("column_name", "load").distinct().withColumn("place", F.row_number().over(Window.partitionBy("column_name").orderBy("load")))
-    placed = each.alias("e").join(order.alias("o"), (F.col("e.column_name") == F.col("o.column_name")) & F.col("e.load").eqNullSafe(F.col("o.load"))).select("e.*", "place")
-    before = placed.select(F.col("column_name").alias("bc"), F.col("sign").alias("bs"), (F.col("place") + 1).alias("bp"), F.col("share").alias("previous"))
-    both = placed.join(before, (F.col("column_name") == F.col("bc")) & F.col("sign").eqNullSafe(F.col("bs")) & (F.col("place") == F.col("bp")), "left").join(whole, (F.col("column_name") == F.col("wc")) & F.col("sign").eqNullSafe(F.col("ws")))
+    of_column, of_sign = Window.partitionBy("column_name"), Window.partitionBy("column_name", "sign")
+    each = coverage(values).withColumns({"usual": F.sum("covered").over(of_sign) / F.sum("covered").over(of_column), "place": F.dense_rank().over(of_column.orderBy("load"))})
+    in_order = of_sign.orderBy("place")
+    previous = F.when(F.lag("place").over(in_order) == F.col("place") - 1, F.lag("share").over(in_order))
     # an expression that a load lacks adds its share elsewhere: all those shares sum to 1
     gap = lambda other: (F.sum(F.abs(F.col("share") - other) - other) + 1) / 2
-    return both.groupBy(F.col("column_name").alias("shift_column"), "load", "place").agg(gap(F.coalesce("previous", F.lit(0.0))).alias("before"), gap(F.col("usual")).alias("shift_overall")).select("shift_column", "load", F.when(F.col("place") > 1, F.col("before")).alias("shift_before"), "shift_overall")
+    sums = each.withColumn("previous", F.coalesce(previous, F.lit(0.0))).groupBy(F.col("column_name").alias("shift_column"), "load", "place").agg(gap(F.col("previous")).alias("before"), gap(F.col("usual")).alias("shift_overall"))
+    return sums.select("shift_column", "load", F.when(F.col("place") > 1, F.col("before")).alias("shift_before"), "shift_overall")
+
+
+def keyed_values(rows: DataFrame, key: str, rules: list[Rule]) -> DataFrame:
+    """(record_key, column_name, value): the values of the rules' columns by record."""
+    pairs = F.explode(F.array(*[F.struct(F.lit(r.column).alias("column_name"), F.col(r.column).cast("string").alias("value")) for r in rules]))
+    return rows.select(F.col(key).cast("string").alias("record_key"), pairs.alias("pair")).select("record_key", "pair.*")
+
+
+def records_of(each: DataFrame, broken: DataFrame) -> DataFrame:
+    """The rows of ``keyed_values()``, once each, that have one of the ``broken`` values (column_name, value, row_count)."""
+    return spread_join(each, broken, ["column_name", "value"], "row_count", "left_semi").drop("value").distinct()
 
 
 def broken_records(rows: DataFrame, key: str, rules: list[Rule], values: DataFrame) -> DataFrame:
@@ -247,6 +308,4 @@ def broken_records(rows: DataFrame, key: str, rules: list[Rule], values: DataFra
     The judged values select the rows: only distinct broken values are joined back.
     """
     bad = values.filter("broken").groupBy("column_name", "value").agg(F.sum("row_count").alias("row_count"))
-    pairs = F.explode(F.array(*[F.struct(F.lit(r.column).alias("column_name"), F.col(r.column).cast("string").alias("value")) for r in rules]))
-    each = rows.select(F.col(key).cast("string").alias("record_key"), pairs.alias("pair")).select("record_key", "pair.*")
-    return spread_join(each, bad, ["column_name", "value"], "row_count", "left_semi").select("column_name", "record_key").distinct()
+    return records_of(keyed_values(rows, key, rules), bad).select("column_name", "record_key")

@@ -17,36 +17,37 @@ PRODUCT_RULES = [
     cp.Rule("retail_price_egp", above=0, at_most=100_000, level_factor=3),
     cp.Rule("manufacturer", names=True, broken_share=0.25, single_share=0.5),
 ]
-RUN_RULES = [cp.Rule("input_row_counts", pattern=cp.PLAIN_COUNTS)]
+RUN_RULES = [cp.Rule("input_row_counts", pattern=cp.PLAIN_COUNTS, sound=cp.PLAIN_COUNT_SIGNS)]
 PROFILED = (("master_product", "product_id", PRODUCT_RULES, "source_snapshot_label"), ("ingestion_run", "run_id", RUN_RULES, None))
 POSITION = ["kafka_topic", "kafka_partition", "kafka_offset"]
 
 
-def _judged(spark: SparkSession, folder: str, name: str, rules: list[cp.Rule], load: str | None) -> DataFrame:
-    # each is read several times; a written copy also ends the lineage
-    counts = cut(cp.value_counts(table(spark, folder, name), rules, load))
-    return cut(cp.judged(counts, rules))
+RULES = [*PRODUCT_RULES, *RUN_RULES]
+
+
+def _valued(spark: SparkSession, folder: str) -> DataFrame:
+    """The judged values of all profiled columns; read several times, so written."""
+    (first, _, rules, load), (second, _, others, no_load) = PROFILED
+    counts = cp.value_counts(table(spark, folder, first), rules, load).unionByName(cp.value_counts(table(spark, folder, second), others, no_load))
+    return cut(cp.valued(counts, RULES))
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     """Values and loads of the profiled columns that are out of order."""
-    parts = None
-    for name, key, rules, load in PROFILED:
-        values = _judged(spark, folder, name, rules, load)
-        found = cp.broken_records(table(spark, folder, name), key, rules, values)
-        if load:
-            # written whole: else the comparison of coverage, which decides no case, wouldn't be computed
-            loads = cut(cp.profile(values, rules)).filter("out_of_order AND load IS NOT NULL").select("column_name", F.col("load").alias("record_key"))
-            found = found.unionByName(loads)
-        found = found.select(F.lit(name).alias("table_name"), "column_name", "record_key")
-        parts = found if parts is None else parts.unionByName(found)
-    return parts
+    values = _valued(spark, folder)
+    parts = [cp.keyed_values(table(spark, folder, name), key, rules).withColumn("table_name", F.lit(name)) for name, key, rules, _ in PROFILED]
+    broken = values.filter("broken").select("column_name", "value", "row_count")
+    records = cp.records_of(parts[0].unionByName(parts[1]), broken).select("table_name", "column_name", "record_key")
+    # written whole, with the comparison of coverage
+    profile = cut(cp.profile(cp.by_load(values), RULES))
+    loads = profile.filter("out_of_order AND load IS NOT NULL").select(F.lit("master_product").alias("table_name"), "column_name", F.col("load").alias("record_key"))
+    return records.unionByName(loads)
 
 
 def p1_column_profile(spark: SparkSession, folder: str) -> DataFrame:
     """The profile of each column by load; ingestion_run as one load."""
-    parts = [cp.profile(_judged(spark, folder, name, rules, load), rules).withColumn("table_name", F.lit(name)) for name, _, rules, load in PROFILED]
-    return parts[0].unionByName(parts[1])
+    of = F.when(F.col("column_name").isin([r.column for r in RUN_RULES]), "ingestion_run").otherwise("master_product")
+    return cp.profile(cp.by_load(_valued(spark, folder)), RULES).withColumn("table_name", of)
 
 
 def p1_aggregates(spark: SparkSession, folder: str) -> DataFrame:
@@ -57,11 +58,9 @@ def p1_aggregates(spark: SparkSession, folder: str) -> DataFrame:
 
 def p1_expressions(spark: SparkSession, folder: str) -> DataFrame:
     """The induced expressions with the rows and distinct values they cover; a null expression has the exceptions."""
-    parts = []
-    for name, _, rules, load in PROFILED:
-        values = cp.induce(cp.value_counts(table(spark, folder, name), rules, load), rules)
-        parts.append(values.groupBy(F.lit(name).alias("table_name"), "column_name", "expression").agg(F.count(F.lit(1)).alias("distinct_values"), F.sum("row_count").alias("covered_rows")))
-    return parts[0].unionByName(parts[1])
+    of = F.when(F.col("column_name").isin([r.column for r in RUN_RULES]), "ingestion_run").otherwise("master_product")
+    known = _valued(spark, folder).filter("value IS NOT NULL")
+    return known.groupBy(of.alias("table_name"), "column_name", "expression").agg(F.count(F.lit(1)).alias("distinct_values"), F.sum("row_count").alias("covered_rows"))
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:

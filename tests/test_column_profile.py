@@ -1,7 +1,11 @@
+import math
+import random
 import re
+from collections import defaultdict
 from decimal import Decimal
 
 import pytest
+from pyspark.sql import functions as F
 
 from ledgerloom.operators import column_profile as cp
 
@@ -88,3 +92,82 @@ def test_very_long_values(spark):
     values = judged(spark, records)
     assert cp.profile(values, RULES).count() == 2
     assert [r["record_key"] for r in cp.broken_records(frame(spark, records), "id", RULES, values).collect()] in (["2", "3"], ["3", "2"])
+
+
+def test_the_chosen_expressions_decide(spark, rows):
+    records = [(str(i), "5", m, "l") for i, m in enumerate(MAKERS + NAMELESS)]
+    counts = cp.value_counts(frame(spark, records), RULES, "load")
+
+    def nothing_chosen(distinct, rules):
+        return cp._induced(distinct, rules).withColumn("sign", F.lit(None).cast("string")).withColumn("expression", F.lit(None).cast("string"))
+
+    without = rows(cp.valued(counts, RULES, nothing_chosen).filter("broken AND value IS NOT NULL"), "column_name", "value")
+    assert without == [], "without expressions no text is known to name nothing"
+    known = cp.valued(counts, RULES)
+    assert known.filter("broken AND value IS NOT NULL").count() == len(set(NAMELESS)) - 1
+    assert known.filter("broken AND value IS NOT NULL AND NOT conforms").count() == 0
+
+
+def test_a_text_that_says_nothing_has_an_expression_even_alone(spark):
+    for text in NAMELESS[1:]:
+        (row,) = cp.valued(cp.value_counts(frame(spark, [("1", "5", text, "l")]), RULES, "load"), RULES).filter("column_name = 'maker'").collect()
+        assert row["conforms"] and row["broken"], text
+
+
+COUNT_TEXTS = ['{"a": 1}', "{}", ' {"a" : 0 ,"b":12}\n', '{"a\\"}": 1}', '{"a": -1}', '{"a": 1.0}', '{"a": 1e3}', '{"a": "1"}', '{"a": null}', '{"a": {"b": 1}}', '{"a": 01}', '{"a": 00}', '{"a": 1,}', '{"a": 1', "[1]", "", "null", '{"a": 1} x', '{""": 1}', '{"": 1}', '{"a": ٣}', '{"a":\xa01}', '{"a\tb": 1}', '{"a": 1 "b": 2}', '{"a_b": 1, "c-d.e": 20, "f9": 3}', '{"a": 1}}', '{{"a": 1}', '{"a" "b": 1}', '{"a": 10, "b": 0, "c": 33, "d": 4}', '{,"a": 1}', '{"a":: 1}', '{"a": 1,,"b": 2}', '{"x": 1, "y": 2, "z": 3, }']
+
+
+def test_sound_expressions_admit_only_plain_counts(spark):
+    rule = cp.Rule("value", pattern=cp.PLAIN_COUNTS, sound=cp.PLAIN_COUNT_SIGNS)
+    texts = COUNT_TEXTS + [t.replace("a", "ab") for t in COUNT_TEXTS]
+    table = spark.createDataFrame([(t,) for t in texts], "value string")
+    found = cp.valued(cp.value_counts(table, [rule]), [rule]).withColumn("plain", F.col("value").rlike(cp.PLAIN_COUNTS))
+    assert found.filter("broken = plain").count() == 0
+    shaped = cp._shapes(table, [rule])
+    for shape in ("shape_1", "shape_2", "shape_3"):
+        sound = shaped.filter(F.col(shape).rlike(cp.PLAIN_COUNT_SIGNS))
+        assert sound.filter(~F.col("value").rlike(cp.PLAIN_COUNTS)).count() == 0 and sound.count() >= 4
+
+
+def test_sound_numbers_are_within_the_range(spark, rows):
+    prices = ["0.00", "0.01", "-4.00", "5.00", "99999.99", "100000.00", "100000.01", "999999999.99", "-0.01", "10.00", "-10.50"]
+    records = [(str(i), p, "Wenvi", "l") for i, p in enumerate(prices * 30)]
+    values = judged(spark, records)
+    assert set(rows(values.filter("column_name = 'price' AND broken"), "value")) == {("0.00",), ("-4.00",), ("100000.01",), ("999999999.99",), ("-0.01",), ("-10.50",)}
+
+
+def best_bits(values):
+    """The fewest bits over every cut of the tree, tried one by one; values: (shapes by level, bits by level, bits in full)."""
+    n = len(values)
+    code = lambda shape, members, level: len(shape) * 8 + 8 + sum(v[1][level] for v in members) + len(members) * math.log2(n / len(members))
+
+    def best(members, level):
+        if level < 0:
+            return sum(v[2] + math.log2(n) for v in members)
+        groups = defaultdict(list)
+        for v in members:
+            groups[v[0][level]].append(v)
+        return sum(min(code(shape, own, level), best(own, level - 1)) for shape, own in groups.items())
+
+    return best(values, 2)
+
+
+def test_no_cut_of_the_tree_has_fewer_bits(spark):
+    rng = random.Random(5)
+    makers = sorted({rng.choice(["Ba", "Ke", "lo", "M.", "3"]) + rng.choice(["ra", "sel", "-2", " & Co", ""]) * rng.randint(0, 2) for _ in range(60)} | {"n/a", "?", "--", "Tbd"})
+    counts = cp.value_counts(frame(spark, [(str(i), None, m, "l") for i, m in enumerate(makers)]), RULES, "load").filter("column_name = 'maker'")
+    shaped = cp._bits(cp._shapes(counts.select("column_name", "value"), RULES)).collect()
+    values = {r["value"]: ([r["shape_1"], r["shape_2"], r["shape_3"]], [r["bits_1"], r["bits_2"], r["bits_3"]], r["bits_0"]) for r in shaped}
+    chosen = {r["value"]: r["sign"] for r in cp.induce(counts, RULES).collect()}
+    assert cp.ANYTHING not in chosen.values()
+    groups = defaultdict(list)
+    for value, sign in chosen.items():
+        groups[sign].append(value)
+    n, total = len(values), 0
+    for sign, own in groups.items():
+        if sign is None:
+            total += sum(values[v][2] + math.log2(n) for v in own)
+        else:
+            level = min(k for k in range(3) if all(values[v][0][k] == sign for v in own))
+            total += len(sign) * 8 + 8 + sum(values[v][1][level] for v in own) + len(own) * math.log2(n / len(own))
+    assert total == pytest.approx(best_bits(list(values.values())))
