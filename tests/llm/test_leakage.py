@@ -3,9 +3,10 @@ import re
 import unicodedata
 from collections import defaultdict
 
+import numpy as np
 import pyarrow as pa
 
-from ledgerloom.llm.leakage import _by_size, leaks
+from ledgerloom.llm.leakage import SHINGLE, _by_size, _shingle_hashes, _word_hashes, first_minima, leaks, signatures, windows_like
 
 DOCS, ITEMS = "doc_id long, text string, text_tgt string, item_id string", "item_id long, text string, doc_id string"
 
@@ -72,10 +73,56 @@ def test_against_brute_force(spark, rows):
         assert rows(leaks(*frames(spark, docs, items))) == sorted(brute(docs, items), key=str)
 
 
-def test_items_in_blocks_give_the_same(spark, rows):
+def test_passages_beyond_a_broadcast_and_hot_ones_give_the_same(spark, rows):
     docs, items = random_case(3)
     docs += [(5, docs[5][1])]  # a repeated row
-    assert rows(leaks(*frames(spark, docs, items), words_a_block=60)) == sorted(brute(docs, items), key=str)
+    docs += [(1000 + i, items[0][1]) for i in range(200)]  # an item that leaks everywhere
+    expected = sorted(brute(docs, items), key=str)
+    assert rows(leaks(*frames(spark, docs, items))) == expected
+    assert rows(leaks(*frames(spark, docs, items), broadcast_passages=0, rows_a_task=20)) == expected
+
+
+def test_passages_of_equal_shingles_are_told_apart(spark, rows):
+    items = [(1, "a b a b a b a b a b a b"), (2, "b a b a b a b a b a b a")]
+    docs = [(1, "a b a b a b a b a b a b"), (2, "x b a b a b a b a b a b a x"), (3, "a b a b a b a b a b a b a")]
+    assert rows(leaks(*frames(spark, docs, items))) == [(1, 1), (2, 2), (3, 1), (3, 2)]
+
+
+def test_minima_and_signatures_against_their_definitions():
+    rng = random.Random(11)
+    hashed = _word_hashes([f"w{rng.randint(0, 20)}" for _ in range(60)])
+    for size, least, each in first_minima(hashed, [1, 3, 5, 6, 9, 12]):
+        q = min(SHINGLE, size)
+        whole = _shingle_hashes(hashed, q)
+        assert (each == whole).all() and len(least) == 61 - size
+        assert all(least[i] == whole[i : i + size - q + 1].min() for i in range(len(least)))
+        alone = [signatures(e, m, np.arange(1), size)[0] for i in range(len(least)) for _, m, e in first_minima(hashed[i : i + size], [size])]
+        assert (signatures(each, least, np.arange(len(least)), size) == alone).all()
+    assert all(len(m) == 0 for size, m, _ in first_minima(hashed[:3], [4, 5, 12]))
+
+
+def test_the_search_alone_finds_every_window_and_few_others():
+    docs, items = random_case(5)
+    held = {tuple(own[i : i + n]) for _, t in items for own in [plain(t)] for n in [min(12, len(own))] for i in range(len(own) - n + 1)}
+    classes = sorted({len(p) for p in held})
+    first, signed = np.zeros(2**10, dtype=np.uint64), np.zeros(2**10, dtype=np.uint64)
+    for p in held:
+        ((_, least, each),) = first_minima(_word_hashes(list(p)), [len(p)])
+        for sieve, key in ((first, int(least[0])), (signed, int(signatures(each, least, np.arange(1), len(p))[0]))):
+            for by in (0, 24):
+                place = (key >> by) % (len(sieve) * 64)
+                sieve[place >> 6] |= np.uint64(1 << (place & 63))
+    found = {(d, w) for d, _, _, w in windows_like([t for _, t in docs], classes, first, signed)}
+    true = {(d, " ".join(own[i : i + n])) for d, (_, t) in enumerate(docs) for own in [plain(t)] for n in classes for i in range(len(own) - n + 1) if tuple(own[i : i + n]) in held}
+    assert true <= found, "recall of the search, before any check, is 1"
+    assert len(found) <= 1.2 * len(true) + 20
+
+
+def test_documents_are_read_once_whatever_the_items(spark):
+    docs, items = frames(spark, *random_case(6))
+    for most in (10**6, 0):
+        plan = leaks(docs, items, broadcast_passages=most)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("MapInArrow") <= 1
 
 
 def test_a_passage_deep_inside_a_very_long_text(spark, rows):
