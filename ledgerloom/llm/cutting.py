@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from array import array
 
+import numpy as np
 import pyarrow as pa
+from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -56,18 +58,11 @@ def cohesion(terms: list[str | None], block: int = BLOCK) -> array:
     return found
 
 
-def depths(similar: array) -> array:
-    """How deep each gap lies under the peaks on both sides, climbing from it as long as it rises."""
-    n = len(similar)
-    peak = similar[:]
-    for g in range(1, n):
-        if similar[g - 1] >= similar[g]:
-            peak[g] = peak[g - 1]
-    other = similar[:]
-    for g in range(n - 2, -1, -1):
-        if similar[g + 1] >= similar[g]:
-            other[g] = other[g + 1]
-    return array("d", (a + b - 2 * s for a, b, s in zip(peak, other, similar)))
+def depths(similar: array, block: int = BLOCK) -> array:
+    """How deep each gap lies under the highest of the ``block`` gaps before it and of those after it."""
+    each = np.frombuffer(similar)
+    highest = lambda padding: sliding_window_view(np.pad(each, padding, mode="edge"), block + 1).max(axis=1)
+    return array("d", (highest((block, 0)) + highest((0, block)) - 2 * each).tobytes())
 
 
 def _kind(token: str, between: str) -> int:
@@ -82,8 +77,9 @@ def pieces_of(text: str, limit: int = LIMIT, overlap: int = OVERLAP, block: int
     """(first character, end, size, kind of the cut after it) of each piece of a text, in order.
 
     Each piece has at most ``limit`` tokens and begins ``overlap`` tokens before the end of the one before. Where a piece
-    must end, the best kind of gap in the later half of its window is taken (paragraph, sentence, word end, or within a run
-    without spaces), and of those the deepest valley of cohesion, the last of equal ones. No token is cut.
+    must end, the deepest valley of cohesion among the natural boundaries in the later half of its window is taken: the ends
+    of paragraphs and sentences alike; only where there is none, the ends of words, and only where there are none of these
+    either, gaps within a run without spaces. Of equally deep ones the better kind, then the last. No token is cut.
     """
     # arrays, and one string a word: a text of ten million characters takes some 100 MB
     starts, ends, terms, vocabulary = array("q"), array("q"), [], {}
@@ -103,14 +99,17 @@ def pieces_of(text: str, limit: int = LIMIT, overlap: int = OVERLAP, block: int
         return []
     if n <= limit:
         return [(starts[0], ends[-1], n, "end")]
-    deep = depths(cohesion(terms, block))
+    deep = depths(cohesion(terms, block), block)
     kind = lambda g: _kind(text[starts[g - 1] : ends[g - 1]], text[ends[g - 1] : starts[g]])
     found = []
     start = fresh = 0
     while start + limit < n:
         lowest, highest = fresh + max(1, (start + limit - fresh) // 2), start + limit
-        best = min(range(lowest, highest + 1), key=lambda g: (kind(g), -deep[g], -g))
-        found.append((starts[start], ends[best - 1], best - start, KINDS[kind(best)]))
+        kinds = [kind(g) for g in range(lowest, highest + 1)]
+        natural = max(SENTENCE, min(kinds))
+        best = min((-deep[g], k, -g) for g, k in enumerate(kinds, lowest) if k <= natural)
+        cut_at, best = best[1], -best[2]
+        found.append((starts[start], ends[best - 1], best - start, KINDS[cut_at]))
         fresh, start = best, best - overlap
     found.append((starts[start], ends[-1], n - start, "end"))
     return found

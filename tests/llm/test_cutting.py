@@ -4,7 +4,7 @@ from collections import Counter
 
 import pytest
 
-from ledgerloom.llm.cutting import cohesion, depths, pieces_of, split
+from ledgerloom.llm.cutting import KINDS, SENTENCE, WORD_END, _kind, cohesion, depths, pieces_of, split
 from ledgerloom.llm.tokens import TOKEN
 
 SCHEMA = "doc_id long, text string, piece_no string, cut_at int"
@@ -59,6 +59,43 @@ def test_the_topic_change_is_found():
     assert text[first[0] : first[1]].endswith(".") and "b" not in text[first[0] : first[1]] and text[first[1] + 1] == "b"
 
 
+def paragraphs(rng, letter, number):
+    """Paragraphs of one topic, each with an end that isn't a topic's end."""
+    return "".join("".join(" ".join(rng.choices([f"{letter}{i}" for i in range(9)], k=6)) + ". " for _ in range(2)) + "\n\n" for _ in range(number))
+
+
+def test_the_deepest_valley_goes_before_other_paragraph_ends():
+    rng = random.Random(8)
+    for _ in range(20):
+        # topics of 154 to 224 tokens: each change lies in the later half of a window
+        topics = [paragraphs(rng, letter, rng.randint(11, 16)) for letter in "abcdefg"]
+        text = "".join(topics)
+        changes, at = set(), 0
+        for topic in topics[:-1]:
+            at += len(topic)
+            changes.add(len(text[:at].rstrip()))
+        cuts = [end for _, end, _, _ in pieces_of(text)[:-1]]
+        assert sum(c in changes for c in cuts) >= 0.8 * len(cuts)
+
+
+def test_no_boundary_of_a_window_is_deeper_than_the_one_taken():
+    rng = random.Random(9)
+    for _ in range(30):
+        text = random_text(rng, 60)
+        spans = [m.span() for m in TOKEN.finditer(text)]
+        terms = [text[a:b].lower() if text[a].isalnum() else None for a, b in spans]
+        deep = depths(cohesion(terms))
+        number = {b: g for g, (_, b) in enumerate(spans, 1)}
+        kind = lambda g: _kind(text[slice(*spans[g - 1])], text[spans[g - 1][1] : spans[g][0]])
+        start = fresh = 0
+        for first, end, n, name in pieces_of(text)[:-1]:
+            window = range(fresh + max(1, (start + 256 - fresh) // 2), start + 257)
+            best = number[end]
+            natural = [g for g in window if kind(g) <= SENTENCE] or [g for g in window if kind(g) == WORD_END] or list(window)
+            assert best in natural and deep[best] == max(deep[g] for g in natural) and name == KINDS[kind(best)]
+            fresh, start = best, best - 32
+
+
 def test_cohesion_and_depths_against_their_definitions():
     rng = random.Random(3)
     terms = [rng.choice(["a", "b", "c", "d", None]) for _ in range(70)]
@@ -67,14 +104,9 @@ def test_cohesion_and_depths_against_their_definitions():
         x, y = (Counter(t for t in part if t is not None) for part in (terms[max(0, g - 8) : g], terms[g : g + 8]))
         norm = math.sqrt(sum(v * v for v in x.values()) * sum(v * v for v in y.values()))
         assert found[g] == pytest.approx(sum(x[t] * y[t] for t in x) / norm if norm else 0.0)
-    deep = depths(found)
+    deep = depths(found, 8)
     for g in range(len(found)):
-        i = j = g
-        while i and found[i - 1] >= found[i]:
-            i -= 1
-        while j < len(found) - 1 and found[j + 1] >= found[j]:
-            j += 1
-        assert deep[g] == pytest.approx(found[i] + found[j] - 2 * found[g])
+        assert deep[g] == pytest.approx(max(found[max(0, g - 8) : g + 1]) + max(found[g : g + 9]) - 2 * found[g])
 
 
 def test_only_long_texts_are_cut_and_rows_say_where(spark):
