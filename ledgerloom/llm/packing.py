@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
@@ -13,7 +15,6 @@ from .tokens import size
 
 #: Most items a task packs at once after an exchange; about 50 bytes each.
 ITEMS_A_PARTITION = 200_000
-ROUNDS = 4
 
 
 def best_fit_decreasing(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, int]:
@@ -76,7 +77,7 @@ def _pack_partition(capacity: int, turn: int):
         fill = np.bincount(container, weights=sizes, minlength=opened).astype(np.int64)
         loosest = int(np.argmin(fill))
         n = table.num_rows
-        base = (turn << 58) | (TaskContext.get().partitionId() << 30)
+        base = (turn << 52) | (TaskContext.get().partitionId() << 30)
         made = {
             "container_id": pa.array(base | container),
             "fill": pa.array(fill[container]),
@@ -88,15 +89,16 @@ def _pack_partition(capacity: int, turn: int):
     return pack
 
 
-def pack(documents: DataFrame, item_id: str = "doc_id", text: str = "text", capacity: int = 1024, items_a_partition: int = ITEMS_A_PARTITION, rounds: int = ROUNDS) -> DataFrame:
+def pack(documents: DataFrame, item_id: str = "doc_id", text: str = "text", capacity: int = 1024, items_a_partition: int = ITEMS_A_PARTITION, rounds: int | None = None) -> DataFrame:
     """(item id, piece_no, size, container_id): every text whole in one container of ``capacity`` tokens.
 
     A text over the capacity fills containers of its own and only its last piece, numbered last, is packed. Each partition
     packs its items by best-fit decreasing, without a shuffle, and a dual-feasible-function bound certifies its number of
     containers. What leaves a gap is exchanged: the documents of containers that aren't full in partitions without
     certificate, and those of the loosest container of each other; they are mixed into partitions of about
-    ``items_a_partition`` and packed again, until nothing is gained or ``rounds`` are over. A round that would need more
-    containers isn't taken. Each round is written to the shared folder.
+    ``items_a_partition`` and packed again, as long as each round needs fewer containers than the one before (one that
+    doesn't isn't taken and is the last) and no more than their volume needs; ``rounds`` may end it sooner. Each round is
+    written to the shared folder.
     Empty texts have size 0 and a container like others; null texts give no row; repeated rows are items of their own.
     """
     sized = documents.select(F.col(item_id).alias("item_id"), size(text).alias("total")).filter("total IS NOT NULL")
@@ -110,7 +112,7 @@ def pack(documents: DataFrame, item_id: str = "doc_id", text: str = "text", capa
     schema = f"item_id {kind}, piece_no long, size long, container_id long, fill long, certified boolean, loosest boolean"
     done = []
     before = None
-    for turn in range(rounds):
+    for turn in count():
         placed = cut(pending.mapInArrow(_pack_partition(capacity, turn), schema))
         if before is not None and before["containers"] <= placed.agg(F.count_distinct("container_id")).first()[0]:
             placed = before["placed"]
@@ -119,7 +121,7 @@ def pack(documents: DataFrame, item_id: str = "doc_id", text: str = "text", capa
         left = placed.filter(move)
         row = left.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("container_id").alias("containers"), F.sum("size").alias("volume")).first()
         # nothing to gain where the moving documents already lie in as few containers as their volume allows
-        if turn == rounds - 1 or not row["n"] or row["containers"] <= -(-row["volume"] // capacity):
+        if turn + 1 == rounds or not row["n"] or row["containers"] <= -(-row["volume"] // capacity):
             break
         done.append(placed.filter(~move))
         before = {"containers": row["containers"], "placed": left}

@@ -66,6 +66,12 @@ def test_a_round_never_adds_containers(spark):
     assert counts[0] >= counts[1] >= counts[2]
 
 
+def test_rounds_go_on_until_nothing_is_gained(spark):
+    texts = random_texts(300, 70, 4)
+    count = lambda **k: len({r["container_id"] for r in pack(frame(spark, texts).repartition(30), capacity=100, items_a_partition=30, **k).collect()})
+    assert count() <= min(count(rounds=k) for k in (1, 2, 4))
+
+
 def fewest(sizes, capacity):
     """The number of containers of the best packing, by trying all."""
     best = [len(sizes)]
