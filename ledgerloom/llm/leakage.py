@@ -169,7 +169,7 @@ def leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text:
     kind = dict(read.dtypes)["doc_id"]
     # one row a passage with the items that hold it, then one row a signature; passages of one signature have the same shingles
     held = _passages(asked, passage).groupBy("size_class", "first_hash", "signature", "passage").agg(F.collect_set("item_id").alias("items"))
-    queries = cut(held.groupBy("size_class", "first_hash", "signature").agg(F.collect_list(F.struct("passage", "items")).alias("passages")))
+    queries = cut(held.groupBy("size_class", "first_hash", "signature").agg(F.collect_list(F.struct("passage", shingles(F.col("passage")).alias("shingles"), "items")).alias("passages")))
     classes = {r["size_class"]: r["n"] for r in queries.groupBy("size_class").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most ``passage`` rows
     number = sum(classes.values())
     shared = spark.sparkContext.broadcast((sorted(classes), _sieve(queries, "first_hash", number), _sieve(queries, "signature", number)))
@@ -189,7 +189,7 @@ def leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text:
         met = windows.groupBy(*on).agg(F.count(F.lit(1)).alias("windows"))
         candidates = spread_join(windows, queries.drop("first_hash").join(met, on), on, "windows", rows_a_task=rows_a_task)
     each = candidates.select("doc_id", "window", F.explode("passages").alias("query"))
-    contained = each.filter(F.size(F.array_except(shingles(F.col("query.passage")), shingles(F.col("window")))) == 0)
+    contained = each.filter(F.size(F.array_except("query.shingles", shingles(F.col("window")))) == 0)
     leaked = contained.filter(F.col("window") == F.col("query.passage"))
     return leaked.select(F.col("doc_id").alias(doc_id), F.explode("query.items").alias(item_id)).distinct()
 
