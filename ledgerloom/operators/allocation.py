@@ -28,11 +28,12 @@ def from_lots(requests: DataFrame, lots: DataFrame, keys: list[str], request_ord
 
     borders = intervals(requests, request_order, request_id, request_units, "request").unionByName(intervals(lots, lot_order, lot_id, lot_units, "lot"))
     line = Window.partitionBy(*keys, "cell").orderBy("until", F.col("request").isNull(), "request", "lot")
-    later = line.rowsBetween(0, Window.unboundedFollowing)
+    # the next one that ends: the last seen from the end of the line on, which is carried along instead of searched for
+    back = Window.partitionBy(*keys, "cell").orderBy(F.col("until").desc(), F.col("request").isNull().desc(), F.col("request").desc(), F.col("lot").desc()).rowsBetween(Window.unboundedPreceding, 0)
     parts = borders.withColumns({
         "since": F.coalesce(F.lag("until").over(line), F.col("cell") * stretch),
-        "request": F.first("request", ignorenulls=True).over(later),
-        "lot": F.first("lot", ignorenulls=True).over(later),
+        "request": F.last("request", ignorenulls=True).over(back),
+        "lot": F.last("lot", ignorenulls=True).over(back),
     })
     shared = parts.filter("request IS NOT NULL AND lot IS NOT NULL AND until > since")
     whole = shared.groupBy(*keys, F.col("request").alias(request_id), F.col("lot").alias(lot_id))

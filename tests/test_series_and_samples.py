@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ledgerloom.functions.numbers import finite, half_up, normal_cdf, rate
 from ledgerloom.operators.allocation import from_lots, largest_remainder
 from ledgerloom.operators.catalogue import first_of_key, normalised
-from ledgerloom.operators.evaluation import binary_metrics, operating_points, regression_metrics, score_table, time_split
+from ledgerloom.operators.evaluation import binary_metrics, exact_percentiles, operating_points, regression_metrics, score_table, time_split
 from ledgerloom.operators.quality import broken_rules, null_counts, orphans, repeated_keys
 from ledgerloom.operators.ranking import ranked, tile
 from ledgerloom.operators.sampling import top_of_each, within_budget
@@ -156,3 +156,30 @@ def test_trend_has_the_first_days_of_least_and_greatest_demand(spark):
     assert (found["least_day"], found["least_units"], found["greatest_day"], found["greatest_units"]) == ("2025-03-03", 2, "2025-03-02", 9)
     assert (found["days"], found["change"], found["least_fill"], found["greatest_fill"]) == (7, 1, 0.333333, 1.0)
     assert _trend(frame.limit(0)).first()["least_day"] is None
+
+
+def test_percentiles_lie_between_values(spark):
+    rng = np.random.default_rng(3)
+    values = {g: rng.integers(0, 50, n).astype(float) for g, n in (("a", 1), ("b", 2), ("c", 101), (None, 60))}
+    frame = spark.createDataFrame([(g, float(v)) for g, vs in values.items() for v in vs] + [("a", None)], "g string, v double")
+    found = {r["g"]: (r["low"], r["high"]) for r in exact_percentiles(frame, ["g"], "v", {"low": 0.5, "high": 0.9}).collect()}
+    assert found == {g: (np.percentile(vs, 50), pytest.approx(np.percentile(vs, 90))) for g, vs in values.items()}
+    whole = np.concatenate(list(values.values()))
+    (row,) = exact_percentiles(frame, [], "v", {"low": 0.25}).collect()
+    assert row["low"] == pytest.approx(np.percentile(whole, 25))
+
+
+def test_requests_of_one_key_take_time_in_proportion(spark):
+    import time
+
+    def seconds(n):
+        requests = spark.range(n).selectExpr("'k' AS k", "id AS r", "1L AS units")
+        lots = spark.range(n // 10).selectExpr("'k' AS k", "id AS l", "9L AS units")
+        began = time.perf_counter()
+        (row,) = from_lots(requests, lots, ["k"], [], [], "r", "l", "units", "units").selectExpr("count(*) AS n", "sum(units) AS units").collect()
+        assert row["units"] == n // 10 * 9 and row["n"] >= n // 10 * 9
+        return time.perf_counter() - began
+
+    seconds(2_000)
+    small, large = seconds(20_000), seconds(160_000)
+    assert large < 8 * small + 5
