@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 
 from ledgerloom.functions.identity import name_uuid
 from ledgerloom.sources import offsets, paged, readers, sinks
-from ledgerloom.streaming.bronze import drain, from_files
+from ledgerloom.streaming.bronze import accounts, drain, from_files
 from ledgerloom.streaming.cooldown import alerts
 from ledgerloom.streaming.ledger import against_ledger
 from ledgerloom.streaming.refresh import refresh
@@ -43,7 +43,7 @@ def test_offset_rules():
     assert len(one) == 20 and one == offsets.batch_name({"a": {"0": 1}}, {"a": {"0": 2}}) != offsets.batch_name({"a": {"0": 1}}, {"a": {"0": 3}})
 
 
-def test_manifest_is_whole(tmp_path):
+def test_manifest_is_whole(spark, tmp_path):
     offsets.write_json(tmp_path / "x/offsets.json", {"a": {"0": 3}})
     assert offsets.read_manifest(tmp_path / "x/offsets.json") == {"a": {"0": 3}} and not list(tmp_path.rglob("*.tmp"))
 
@@ -92,7 +92,11 @@ def test_paged_source(spark):
     try:
         paged.register(spark)
         read = lambda **o: sorted(json.loads(r["record"])["id"] for r in spark.read.format("paged_json").options(url=f"http://127.0.0.1:{server.server_port}/{{skip}}-{{limit}}", limit=10, **o).load().collect())
-        assert read(total=45) == list(range(45)) and read(total=45, most=15) == list(range(15))
+        assert read(total=45) == list(range(45)) and read(total=45, most=45) == list(range(45))
+        with pytest.raises(Exception, match="45 rows, but the service gives 15 at most"):
+            read(total=45, most=15)
+        with pytest.raises(Exception, match="results of"):
+            read(total=65)
     finally:
         server.shutdown()
 
@@ -135,7 +139,7 @@ def test_stream_drains_restarts_and_conserves(spark, tmp_path):
     spoilt = [{"kafka_offset": i} | ({"payload": "[1]"} if i % 3 == 0 else {}) for i in range(30)]
     frame = envelopes(spark, spoilt)
     frame.repartition(3).write.parquet(source)
-    counts = lambda: tuple(spark.read.parquet(f"{out}/{p}").count() for p in ("valid", "quarantine"))
+    counts = lambda: tuple(spark.read.parquet(f"{out}/records").filter(F.col("outcome") == p).count() for p in ("valid", "quarantined"))
     run = lambda: drain(from_files(spark, source, frame.schema, 2), out, state).awaitTermination()
     run()
     assert counts() == (20, 10)
@@ -144,7 +148,9 @@ def test_stream_drains_restarts_and_conserves(spark, tmp_path):
     envelopes(spark, [{"kafka_offset": 99}]).write.mode("append").parquet(source)
     run()
     assert counts() == (21, 10)
-    assert spark.read.parquet(f"{out}/valid").select("kafka_offset").distinct().count() == 21
+    assert spark.read.parquet(f"{out}/records").filter("outcome = 'valid'").select("kafka_offset").distinct().count() == 21
+    told = accounts(spark, out)
+    assert told.count() >= 3 and tuple(told.agg(F.sum("rows"), F.sum("valid"), F.sum("quarantined")).first()) == (31, 21, 10)
     assert GOOD["kafka_offset"] == 1
 
 
@@ -190,3 +196,30 @@ def test_name_uuids(spark):
 
     found = spark.createDataFrame([("a",), ("é x",), ("",)], "n string").select("n", name_uuid(str(uuid.NAMESPACE_URL), F.col("n")).alias("u")).collect()
     assert all(r["u"] == str(uuid.uuid5(uuid.NAMESPACE_URL, r["n"])) for r in found)
+
+
+def test_cooldown_goes_on_over_batches_of_one_stretch(spark, at):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        start = at("2025-01-01 00:00:00")
+        events = [("a", start + timedelta(minutes=20 * i), (i * 7) % 5, f"e{i:03d}") for i in range(120)]
+        expected, at_last, grade_last = [], None, 0
+        for _, moment, grade, name in events:
+            if at_last is None or grade > grade_last or (moment - at_last).total_seconds() >= 6 * 3600:
+                expected.append(name)
+                at_last, grade_last = moment, grade
+        frame = spark.createDataFrame(events, "k string, t timestamp, g int, id string")
+        assert sorted(r["id"] for r in alerts(frame, "k", "t", "g", "id", 6 * 3600).collect()) == expected
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_a_large_day_has_several_tasks(spark, tmp_path):
+    frame = spark.range(1000).select("id", F.when(F.col("id") < 900, "hot").otherwise("cold").alias("event_date"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        sinks.write_by_day(frame, str(tmp_path / "days"), rows_a_task=100)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert len(list((tmp_path / "days/event_date=hot").glob("*.parquet"))) > 1
+    assert spark.read.parquet(str(tmp_path / "days")).distinct().count() == 1000
