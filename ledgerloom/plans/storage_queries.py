@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.temporal import utc_day, zoned_moment
 from ..operators.events import meaning_hash, validated
 from ..registry import query
-from ..session import shared_folder, table
+from ..session import delete_at_end, shared_folder, table
 from ..sources import readers, sinks
 from ..sources.offsets import bounded
 from ..streaming.bronze import drain, from_files
@@ -22,7 +22,10 @@ from .serving_queries import branch_daily, business_day
 
 
 def _own_folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    """A folder of its own in the shared one; it goes when the application ends, as results are read from it until then."""
+    folder = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    delete_at_end(spark, folder)
+    return f"{folder}/data"
 
 
 @query("SELECT kafka_topic, kafka_partition, kafka_offset FROM bronze_event WHERE kafka_partition IN (0, 1) AND kafka_offset >= 200 AND kafka_offset < 100000 + 100 * kafka_partition")
@@ -117,13 +120,12 @@ def snk_14_unpublished(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(f"WITH {_VALIDATED} SELECT kafka_topic, kafka_partition, kafka_offset, validation_error FROM validated")
 def stm_01_streamed_envelopes(spark: SparkSession, folder: str) -> DataFrame:
-    """All envelopes through a stream that ends when it has read them, from its valid and quarantined folders."""
+    """All envelopes through a stream that ends when it has read them, as it stored them."""
     place = _own_folder(spark, "stream")
     # as a pattern, since the table is a folder of files or one file, which alone can't be streamed
     stream = from_files(spark, f"{folder}/bronze_event.parque[t]", table(spark, folder, "bronze_event").schema)
     drain(stream, place, f"{place}/checkpoint").awaitTermination()
-    read = [spark.read.parquet(f"{place}/{part}") for part in ("valid", "quarantine")]
-    return read[0].unionByName(read[1]).select("kafka_topic", "kafka_partition", "kafka_offset", "validation_error")
+    return spark.read.parquet(f"{place}/records").select("kafka_topic", "kafka_partition", "kafka_offset", "validation_error")
 
 
 _HASHED = "hashed AS (SELECT *, sha256(concat_ws('||', coalesce(event_id, ''), coalesce(event_type, ''), coalesce(schema_version, ''), coalesce(aggregate_type, ''), coalesce(aggregate_id, ''), coalesce(occurred_at, ''), coalesce(correlation_id, ''), coalesce(causation_id, ''), coalesce(payload, ''))) AS digest FROM bronze_event)"

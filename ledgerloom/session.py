@@ -47,6 +47,19 @@ def shared_folder(spark: SparkSession) -> str:
     return own
 
 
+def file_system(spark: SparkSession, path: str):
+    """The Hadoop file system and path object of a path, on whatever storage it lies."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
+
+
+def delete_at_end(spark: SparkSession, folder: str) -> None:
+    """Removes a folder, also one that isn't there yet, when the driver's JVM ends."""
+    fs, place = file_system(spark, folder)
+    fs.mkdirs(place)
+    fs.deleteOnExit(place)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Writes ``df`` to the shared folder and returns it read back: computed once, and kept when executors are lost."""
     shared_folder(df.sparkSession)

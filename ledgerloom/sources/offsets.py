@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import hashlib
 import json
-import os
 from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import file_system
+
 Offsets = dict[str, dict[str, int]]
 
 
@@ -90,14 +91,30 @@ def bounded(records: DataFrame, start: Offsets, end: Offsets, topic: str = "kafk
 
 
 def write_json(path: str | Path, content: object) -> None:
-    """A file that is there as a whole or not at all: written beside it, then renamed."""
-    path = Path(path)
-    path.parent.mkdir(parents=True, exist_ok=True)
-    beside = path.with_name(path.name + ".tmp")
-    beside.write_text(json.dumps(content, sort_keys=True, indent=2), encoding="utf-8")
-    os.replace(beside, path)
+    """A file that is there as a whole or not at all: written beside it, then put in its place. It may lie on any storage
+    that the session's Hadoop file systems reach, so a driver that starts elsewhere finds it."""
+    spark = SparkSession.active()
+    fs, place = file_system(spark, str(path))
+    beside = place.suffix(".tmp")
+    out = fs.create(beside, True)
+    out.write(bytearray(json.dumps(content, sort_keys=True, indent=2).encode()))
+    out.close()
+    jvm = spark.sparkContext._jvm
+    options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration()).rename(fs.makeQualified(beside), fs.makeQualified(place), options)
+
+
+def read_json(path: str | Path) -> object:
+    """What write_json() wrote."""
+    fs, place = file_system(SparkSession.active(), str(path))
+    source = fs.open(place)
+    try:
+        return json.loads(bytes(source.readAllBytes()).decode())
+    finally:
+        source.close()
 
 
 def read_manifest(path: str | Path) -> Offsets:
     """Offsets from a file, checked."""
-    return check_shape(json.loads(Path(path).read_text(encoding="utf-8")))
+    return check_shape(read_json(path))
