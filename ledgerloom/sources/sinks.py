@@ -11,14 +11,12 @@ from pyspark.sql import functions as F
 FILE_ROWS, BLOCK_BYTES = 250_000, 64 * 1024 * 1024
 
 
-def write_batch(frame: DataFrame, folder: str, batch: int) -> None:
-    """A micro-batch into the folder named after it: run again, it replaces itself."""
-    frame.write.mode("overwrite").parquet(f"{folder}/batch_id={batch:020d}")
-
-
-def write_by_day(frame: DataFrame, folder: str, day: str = "event_date") -> None:
-    """Parquet by day, rows of a day sorted together first so that each day has few files."""
-    frame.repartition(day, F.pmod(F.xxhash64(*frame.columns), F.lit(8))).write.mode("overwrite").partitionBy(day).parquet(folder)
+def write_by_day(frame: DataFrame, folder: str, day: str = "event_date", rows_a_task: int = 4 * FILE_ROWS) -> None:
+    """Parquet by day, rows of a day together first so that each day has few files; a day has as many tasks as its rows need."""
+    # one row a day
+    parts = frame.groupBy(F.col(day).alias("of_day")).agg(F.ceil(F.count(F.lit(1)) / F.lit(rows_a_task)).cast("int").alias("day_parts"))
+    spread = frame.join(F.broadcast(parts), F.col(day).eqNullSafe(F.col("of_day"))).withColumn("day_part", F.pmod(F.xxhash64(*frame.columns), F.col("day_parts")))
+    spread.repartition(day, "day_part").select(*frame.columns).write.mode("overwrite").partitionBy(day).parquet(folder)
 
 
 def write_plain(frame: DataFrame, folder: str, order: list[str] | None = None) -> None:
