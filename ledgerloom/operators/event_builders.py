@@ -10,11 +10,11 @@ from .events import Check, first_failure
 
 #: The namespaces of event and inventory identifiers.
 EVENTS, INVENTORY = "e51c03ea-ecce-44d4-a4d6-2a6674d66781", "a9919ca4-bf2c-4776-bf9e-0f078634bf7d"
-#: Topics with their model and the kind of its decisions.
+#: Topics, without the first part that names the installation, with their model and the kind of its decisions.
 DECISIONS = {
-    "pharmstock.ml.stockout_predictions": ("stockout_risk", "STOCKOUT"),
-    "pharmstock.ml.reorder_recommendations": ("reorder_recommendation", "REORDER"),
-    "pharmstock.ml.expiry_alerts": ("expiry_slow_moving_risk", "EXPIRY"),
+    "ml.stockout_predictions": ("stockout_risk", "STOCKOUT"),
+    "ml.reorder_recommendations": ("reorder_recommendation", "REORDER"),
+    "ml.expiry_alerts": ("expiry_slow_moving_risk", "EXPIRY"),
 }
 
 _BALANCE = ["on_hand_before", "on_hand_after", "inventory_version_after"]
@@ -98,8 +98,9 @@ def decided(messages: DataFrame, topic: str = "topic", value: str = "value") ->
         return F.when(~F.isnan(read) & (F.abs(read) < float("inf")), read)
 
     of, kind = F.lit(None).cast("string"), F.lit(None).cast("string")
+    own = F.regexp_extract(topic, r"^[^.]+\.(.+)$", 1)
     for name, (model, decision) in DECISIONS.items():
-        of, kind = F.when(F.col(topic) == name, model).otherwise(of), F.when(F.col(topic) == name, decision).otherwise(kind)
+        of, kind = F.when(own == name, model).otherwise(of), F.when(own == name, decision).otherwise(kind)
     pair = F.concat(required("branch_id"), F.lit("|"), required("product_id"))
     entity = F.when(of == "expiry_slow_moving_risk", required("batch_id")).otherwise(pair)
     flag = lambda name: ~F.coalesce(F.lower(field(name)), F.lit("false")).isin("false", "", "0", "0.0", "[]", "{}")

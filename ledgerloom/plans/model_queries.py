@@ -88,7 +88,7 @@ def q_inv_stock_context(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(f"WITH {_PAIR_DAYS}, a AS (SELECT max(day) AS as_of FROM daily) SELECT branch_id, product_id, sum(requested_units) FILTER (day > as_of - 7)::BIGINT AS last_7d, sum(requested_units) FILTER (day > as_of - 28)::BIGINT AS last_28d, max(stockout_today) FILTER (day > as_of - 28) AS any_stockout_28d, count(*) AS active_days FROM daily, a GROUP BY 1, 2")
 def q_opair_recent_pairs(spark: SparkSession, folder: str) -> DataFrame:
-    """Recent demand of every branch and product at once, where the reference asks for one at a time."""
+    """Recent demand of every branch and product at once, where a service would ask for one at a time."""
     daily = _pair_days(spark, folder)
     last = daily.agg(F.max("day").alias("as_of"))  # one row
     within = lambda days, c: F.when(F.col("day") > F.date_sub("as_of", days), F.col(c))

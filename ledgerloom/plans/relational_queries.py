@@ -72,12 +72,14 @@ def jn_08_unit_rows(spark: SparkSession, folder: str) -> DataFrame:
     return _lines(spark, folder).filter("quantity >= 1").select("sale_line_id", "quantity", F.explode(F.sequence(F.lit(1), "quantity")).alias("unit_no"))
 
 
-@query(f"""WITH {_ONE_SALE}, ranked AS (SELECT branch_id, row_number() OVER (ORDER BY branch_code) AS seq, count(*) OVER () AS n FROM pharmacy_branch), hashed AS (SELECT sale_id, 1 + least(119, floor(120 * (('0x' || substr(md5(sale_id), 1, 8))::BIGINT / 4294967295.0)))::BIGINT AS seq FROM sales)
+@query(f"""WITH {_ONE_SALE}, ranked AS (SELECT branch_id, row_number() OVER (ORDER BY branch_code) AS seq, count(*) OVER () AS n FROM pharmacy_branch), hashed AS (SELECT sale_id, 1 + least(b.n - 1, floor(b.n * (('0x' || substr(md5(sale_id), 1, 8))::BIGINT / 4294967295.0)))::BIGINT AS seq FROM sales, (SELECT count(*) AS n FROM pharmacy_branch) AS b)
 SELECT h.sale_id, r.branch_id AS drawn_branch_id FROM hashed AS h JOIN ranked AS r ON h.seq = r.seq""")
 def jn_11_ordinal_by_hash(spark: SparkSession, folder: str) -> DataFrame:
     """A branch drawn for each sale: a join of an ordinal computed from a hash with a rank."""
-    branches = table(spark, folder, "pharmacy_branch").select("branch_id", F.row_number().over(Window.orderBy("branch_code")).alias("seq"))  # 120 rows, fixed
-    drawn = _one_sale(spark, folder).select("sale_id", (1 + F.least(F.lit(119), F.floor(120 * hash_unit(F.col("sale_id"))))).cast("int").alias("seq"))
+    # ranks without one task for all; the number of branches is one row
+    branches = ranked(table(spark, folder, "pharmacy_branch").select("branch_id", "branch_code"), "branch_code", "branch_id").select("branch_id", F.col("rank").alias("seq"))
+    number = table(spark, folder, "pharmacy_branch").agg(F.count(F.lit(1)).alias("n"))
+    drawn = _one_sale(spark, folder).join(F.broadcast(number)).select("sale_id", (1 + F.least(F.col("n") - 1, F.floor(F.col("n") * hash_unit(F.col("sale_id"))))).alias("seq"))
     return drawn.join(branches, "seq").select("sale_id", F.col("branch_id").alias("drawn_branch_id"))
 
 

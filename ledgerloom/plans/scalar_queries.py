@@ -86,12 +86,12 @@ def case_01_age_buckets(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "product_price_history").filter("observed_at IS NOT NULL").groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("observations"), F.min(day).cast("string").alias("first_day"))
 
 
-@query("""SELECT run_id, count(*) AS inputs, sum(try_cast(v AS BIGINT))::BIGINT AS counted FROM (SELECT run_id, unnest(regexp_extract_all(input_row_counts, '"[a-z_]+"\\s*:\\s*(\\d+)', 1)) AS v FROM ingestion_run WHERE input_row_counts IS NOT NULL) GROUP BY 1""")
+@query("""SELECT run_id, count(v) AS inputs, count(*) AS exploded, sum(try_cast(v AS BIGINT))::BIGINT AS counted FROM (SELECT run_id, unnest(CASE WHEN len(a) > 0 THEN a ELSE [NULL] END) AS v FROM (SELECT run_id, regexp_extract_all(input_row_counts, '"[a-z_]+"\\s*:\\s*(\\d+)', 1) AS a FROM ingestion_run)) GROUP BY 1""")
 def arr_01_exploded_counts(spark: SparkSession, folder: str) -> DataFrame:
-    """The counts in each run's text as rows, folded again."""
-    runs = table(spark, folder, "ingestion_run").filter("input_row_counts IS NOT NULL")
-    counts = runs.select("run_id", F.explode(F.regexp_extract_all("input_row_counts", F.lit(r'"[a-z_]+"\s*:\s*(\d+)'), 1)).alias("v"))
-    return counts.groupBy("run_id").agg(F.count(F.lit(1)).alias("inputs"), F.sum(F.col("v").try_cast("long")).alias("counted"))
+    """The counts in each run's text as rows, a run without any as one row, folded again."""
+    runs = table(spark, folder, "ingestion_run")
+    counts = runs.select("run_id", F.explode_outer(F.regexp_extract_all("input_row_counts", F.lit(r'"[a-z_]+"\s*:\s*(\d+)'), 1)).alias("v"))
+    return counts.groupBy("run_id").agg(F.count("v").alias("inputs"), F.count(F.lit(1)).alias("exploded"), F.sum(F.col("v").try_cast("long")).alias("counted"))
 
 
 _FILLER = "('', '.', '-', 'N/A', 'NA', 'NONE', 'UNKNOWN', 'NULL', '?')"

@@ -48,7 +48,7 @@ def test_keyed_events_are_correlated(spark, tmp_path):
 
 def test_decisions_of_models(spark):
     body = {"stage": "7K.5", "model_key": "reorder_recommendation", "prediction_event_id": "p", "model_version": "1", "branch_id": " b ", "product_id": "q", "action_required": True, "recommended_order_units": 2.1, "probability": "NaN"}
-    topics = dict(zip(("s", "r", "e"), eb.DECISIONS, strict=True))
+    topics = {name: f"chain.{topic}" for name, topic in zip(("s", "r", "e"), eb.DECISIONS, strict=True)}
     cases = [("r", body), ("r", body | {"recommended_order_units": -1}), ("r", body | {"model_key": "stockout_risk"}), ("s", body | {"model_key": "stockout_risk", "severity": "high"}), ("e", body | {"model_key": "expiry_slow_moving_risk", "batch_id": "x"}), ("e", body | {"model_key": "expiry_slow_moving_risk"}), ("r", body | {"stage": "7"}), ("?", body), ("r", [1])]
     messages = spark.createDataFrame([(i, topics.get(t, t), json.dumps(v)) for i, (t, v) in enumerate(cases)], "i int, topic string, value string")
     found = [tuple(r) for r in eb.decided(messages).orderBy("i").select("decision_error", "decision_type", "entity_key", "recommended_units", "action_required", "severity", "probability").collect()]
