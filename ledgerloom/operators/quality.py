@@ -35,3 +35,9 @@ def report(checks: dict[str, DataFrame]) -> DataFrame:
     """(check, rows_found, passed) of queries that should find nothing."""
     one = [found.agg(F.count(F.lit(1)).alias("rows_found")).select(F.lit(name).alias("check_name"), "rows_found", (F.col("rows_found") == 0).alias("passed")) for name, found in checks.items()]
     return reduce(DataFrame.unionByName, one)
+
+
+def minimum_rows(counted: dict[str, DataFrame], least: dict, basis: DataFrame) -> DataFrame:
+    """(table_name, rows, least_rows, enough): one-row counts against what ``least`` makes of the one row of ``basis``."""
+    one = [count.join(basis).select(F.lit(name).alias("table_name"), "rows", least[name]().cast("long").alias("least_rows")) for name, count in counted.items()]  # one row each
+    return reduce(DataFrame.unionByName, one).withColumn("enough", F.col("rows") >= F.col("least_rows"))
