@@ -46,3 +46,11 @@ def normal_cdf(value: Column) -> Column:
         series = (series + c) * t
     erf = 1.0 - series * F.exp(-x * x)
     return 0.5 * (1.0 + F.signum(value) * erf)
+
+
+def ladder(value: Column, steps: list[tuple[float, str]], beyond: str, strict: bool = False) -> Column:
+    """The label of the first step that a value isn't above (``strict``: is under), or ``beyond``; null for null."""
+    label = F.when(value.isNotNull(), beyond)
+    for bound, name in reversed(steps):
+        label = F.when(value < bound if strict else value <= bound, name).otherwise(label)
+    return label

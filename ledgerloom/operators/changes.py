@@ -96,3 +96,15 @@ def overlay(base: DataFrame, deltas: DataFrame, keys: list[str], event_id: str =
     same = reduce(lambda a, b: a & b, [base[k].cast("string") == names[f"k_{k}"] for k in keys])
     kept = base.join(names, same, "left_anti")
     return kept.unionByName(last.filter("op <> 'd'").select(restored("after_json", base.schema).alias("row")).select("row.*"))
+
+
+def topic_of_source(prefix: str, topic: str = "topic") -> Column:
+    """Whether a decoded change came by the topic named after its source: ``prefix``, schema and table."""
+    return F.col(topic) == F.concat_ws(".", F.lit(prefix), "source_schema", "source_table")
+
+
+def load_plan(snapshots: dict[str, str], reconciled: dict[str, str]) -> dict[str, str]:
+    """The folder to load each table from: the reconciled one where there is one, else the snapshot. Unknown tables are an error."""
+    if unknown := sorted(set(reconciled) - set(snapshots)):
+        raise ValueError(f"reconciled without a snapshot: {unknown}")
+    return {name: reconciled.get(name, place) for name, place in sorted(snapshots.items())}

@@ -60,3 +60,18 @@ def hash_parts(frame: DataFrame, key: list[str], parts: int) -> DataFrame:
     """``frame`` with ``part`` from 0 to parts - 1 by the key's MD5, as a database would compute it."""
     number = F.conv(F.substring(F.md5(F.concat_ws("|", *key)), 1, 8), 16, 10).cast("long")
     return frame.withColumn("part", F.pmod(number, F.lit(parts)))
+
+
+def ordered_parts(spark: SparkSession, folder: str, contract: T.StructType, parts: list[str]) -> DataFrame:
+    """CSV parts under a contract, with ``part_no`` from 0 in the order of ``parts``; a part that isn't there is an error.
+
+    Rows carry their part's number and the place in their file, so that what depends on the order can ask for it; reading
+    itself stays parallel.
+    """
+    if not parts:
+        return spark.createDataFrame([], contract).withColumns({"part_no": F.lit(0), "place": F.lit(0).cast("long")})
+    united = None
+    for number, part in enumerate(parts):
+        own = csv_under_contract(spark, f"{folder}/{part}", contract).withColumn("part_no", F.lit(number))
+        united = own if united is None else united.unionByName(own)
+    return united.withColumn("place", F.monotonically_increasing_id())

@@ -7,6 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.ranking import ranked
+from .offsets import write_json
+
 #: Rows in a file and bytes in a row group.
 FILE_ROWS, BLOCK_BYTES = 250_000, 64 * 1024 * 1024
 
@@ -91,3 +94,18 @@ def updated_from(base: DataFrame, source: DataFrame, key: list[str], columns: di
 def unpublished(outbox: DataFrame, published: DataFrame, event_id: str, order: str) -> DataFrame:
     """The outbox's rows that weren't published yet, oldest first."""
     return outbox.join(published.select(event_id), event_id, "left_anti").orderBy(order, event_id)
+
+
+def write_text_parts(frame: DataFrame, folder: str, group: str, groups_a_part: int, rows_a_file: int = FILE_ROWS) -> list[str]:
+    """CSV in folders of ``groups_a_part`` groups each, in order of the group; returns the folders in that order.
+
+    Groups are numbered without one task that sorts them all; a part is written by as many tasks as Spark gives it, each with
+    files of bounded rows, so memory doesn't grow with a part. The list is also left beside the parts as ``manifest.json``.
+    """
+    places = ranked(frame.select(group).distinct(), group).select(F.col(group).alias("part_group"), F.floor((F.col("rank") - 1) / groups_a_part).cast("int").alias("part"))
+    parted = frame.join(places, F.col(group).eqNullSafe(F.col("part_group")), "left").drop("part_group")
+    parted.sortWithinPartitions("part", group).write.mode("overwrite").option("header", "true").option("escape", '"').option("maxRecordsPerFile", rows_a_file).partitionBy("part").csv(folder)
+    count = places.agg(F.max("part").alias("last")).first()["last"]
+    parts = [f"part={i}" for i in range(-1 if count is None else count + 1)]
+    write_json(f"{folder}.manifest.json", parts)
+    return parts
