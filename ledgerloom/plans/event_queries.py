@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.identity import name_uuid
-from ..operators.event_builders import sale_events
+from ..operators.event_builders import EVENTS, sale_events
 from ..operators.events import EVENT_TYPES, sorted_out, typed, validated
 from ..registry import query
 from ..session import table
@@ -71,7 +71,25 @@ def prj_06_typed_payloads(spark: SparkSession, folder: str) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-@query()
+_INT = "TRY_CAST(payload->>'$.{}' AS INTEGER)"
+_SIGNS = {
+    "sale.units_fulfilled": [("invalid_quantity", "{requested_quantity} > 0 AND {fulfilled_quantity} > 0 AND {lost_quantity} >= 0"), ("quantities_disagree", "{fulfilled_quantity} + {lost_quantity} = {requested_quantity}")],
+    "inventory.quantity_changed": [("invalid_quantity", "{quantity_delta} <> 0 AND {on_hand_before} >= 0 AND {on_hand_after} >= 0"), ("quantities_disagree", "{on_hand_before} + {quantity_delta} = {on_hand_after}")],
+    "inventory.reorder_required": [("invalid_quantity", "{available_quantity} >= 0 AND {reorder_point} >= 0 AND {target_stock_level} > 0 AND {recommended_reorder_quantity} > 0")],
+    "purchase_order.created": [("invalid_date", "TRY_CAST(payload->>'$.expected_delivery_on' AS DATE) IS NOT NULL"), ("invalid_quantity", "{line_count} > 0 AND {ordered_units} > 0")],
+    "goods_receipt.received": [("invalid_quantity", "{line_count} > 0 AND {received_units} > 0")],
+    "restock.applied": [("invalid_quantity", "{quantity} > 0 AND {on_hand_before} >= 0 AND {on_hand_after} >= 0"), ("quantities_disagree", "{on_hand_before} + {quantity} = {on_hand_after}")],
+}
+
+
+def _payload_error(kind: str) -> str:
+    fields = [c.split()[0] for c in EVENT_TYPES[kind][1].split(", ")]
+    ids = " AND ".join(f"regexp_matches(payload->>'$.{f}', '{_UUID}')" for f in fields if f.endswith("_id"))
+    rules = [("invalid_identifier", ids), *((code, rule.format(**{f: _INT.format(f) for f in fields})) for code, rule in _SIGNS[kind])]
+    return "CASE " + " ".join(f"WHEN ({rule}) IS NOT TRUE THEN '{code}'" for code, rule in rules) + " END"
+
+
+@query(f"WITH {_SORTED} " + " UNION ALL ".join(f"SELECT event_type, {_payload_error(kind)} AS payload_error, count(*) AS events FROM sorted WHERE disposition = 'canonical' AND event_type = '{kind}' GROUP BY 1, 2" for kind in EVENT_TYPES))
 def flt_03_payload_rules(spark: SparkSession, folder: str) -> DataFrame:
     """Canonical events by type and the first rule that their payload fails."""
     canonical = _sorted(spark, folder).filter("disposition = 'canonical'")
@@ -109,7 +127,16 @@ def snk_13_dead_letters(spark: SparkSession, folder: str) -> DataFrame:
     return records.select("kafka_topic", "kafka_partition", "kafka_offset", F.regexp_replace(F.base64(F.encode("payload", "UTF-8")), r"\s", "").alias("payload_base64"), F.sha2("payload", 256).alias("payload_sha256"))
 
 
-@query()
+# as JSON the fields that aren't null, in order
+_JSON = lambda fields: "'{' || concat_ws(',', " + ", ".join(f"'\"{name}\":' || {made}" for name, made in fields) + ") || '}'"
+_TEXT = lambda c: f"'\"' || {c} || '\"'"
+_SALE_PAYLOAD = _JSON([("demand_id", _TEXT("demand_attempt_id")), ("basket_id", _TEXT("linked_sale_id")), ("branch_id", _TEXT("branch_id")), ("product_id", _TEXT("product_id")), ("requested_quantity", "requested_units::VARCHAR"), ("fulfilled_quantity", "fulfilled_units::VARCHAR"), ("lost_quantity", "lost_units::VARCHAR"), ("fulfillment_status", _TEXT("outcome"))])
+_SALE_VALUE = _JSON([("event_id", _TEXT("own")), ("event_type", "'\"sale.units_fulfilled\"'"), ("aggregate_type", "'\"demand_line\"'"), ("aggregate_id", _TEXT("demand_attempt_id")), ("occurred_at", _TEXT("strftime(transaction_ts AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%S.%g') || 'Z'")), ("correlation_id", _TEXT("demand_attempt_id")), ("payload", _SALE_PAYLOAD)])
+
+
+@query(f"""WITH d AS (SELECT *, sha1(unhex('{EVENTS.replace("-", "")}')::BLOB || encode('sale.units_fulfilled|' || demand_attempt_id)) AS h FROM demand_attempt WHERE demand_attempt_id IS NOT NULL AND fulfilled_units > 0),
+e AS (SELECT *, h[1:8] || '-' || h[9:12] || '-5' || h[14:16] || '-' || substr('89ab', (('0x' || h[17:17])::INT % 4 + 1)::INT, 1) || h[18:20] || '-' || h[21:32] AS own FROM d)
+SELECT demand_attempt_id AS key, {_SALE_VALUE} AS value, '{{"schema_version":"1.0"}}' AS headers FROM e""")
 def snk_12_keyed_events(spark: SparkSession, folder: str) -> DataFrame:
     """Demand attempts as keyed messages: key, value as JSON with its event id and correlation, and headers."""
     renamed = {"demand_id": "demand_attempt_id", "basket_id": "linked_sale_id", "occurred_at": "transaction_ts", "requested_quantity": "requested_units", "fulfilled_quantity": "fulfilled_units", "lost_quantity": "lost_units", "fulfillment_status": "outcome"}

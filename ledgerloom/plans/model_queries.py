@@ -35,6 +35,12 @@ def alg_21_bootstrap_gain(spark: SparkSession, folder: str) -> DataFrame:
     return bootstrap_gain(gains, "id", "gain")
 
 
+@query(f"WITH {_FORECASTS} SELECT round(avg(abs(y - naive) - abs(y - mean_28)), 5) AS mean_gain, true AS within, true AS narrow FROM f")
+def alg_21_gain_in_its_interval(spark: SparkSession, folder: str) -> DataFrame:
+    """The mean gain, whether its interval holds it, and whether that is narrower than the means of single days spread."""
+    return alg_21_bootstrap_gain(spark, folder).select(F.round("mean_gain", 5).alias("mean_gain"), ((F.col("low") <= F.col("mean_gain")) & (F.col("mean_gain") <= F.col("high"))).alias("within"), (F.col("high") - F.col("low") < 10).alias("narrow"))
+
+
 _BLENDS = " UNION ALL ".join(f"SELECT {k / 20} AS share, round(avg(abs(y - (mean_28 * {k / 20} + naive * {1 - k / 20}))), 9) AS error FROM f" for k in range(21))
 
 
@@ -73,6 +79,22 @@ def alg_25_calibrated_stockouts(spark: SparkSession, folder: str) -> DataFrame:
     return model.transform(made).select("demand_attempt_id", "label", F.round(F.element_at(vector_to_array("probability"), 2), 6).alias("probability"))
 
 
+@query(f"""WITH {_FORECASTS}, b AS (SELECT max(day) AS last FROM f) SELECT (last - day) < 30 AS held_out, count(*) AS days, round(avg(y), 6) AS mean_demand, true AS better_than_naive FROM f, b GROUP BY 1""")
+def alg_25_demand_errors(spark: SparkSession, folder: str) -> DataFrame:
+    """Days, mean demand, and whether the trees err less than the day before does, on days they saw and days held out."""
+    scored = alg_25_boosted_demand(spark, folder).join(_forecasts(spark, folder).select("product_id", F.col("day").cast("string").alias("day"), "naive"), ["product_id", "day"])
+    better = F.avg(F.abs(F.col("y") - F.col("prediction"))) < F.avg(F.abs(F.col("y") - F.col("naive")))
+    return scored.groupBy("held_out").agg(F.count(F.lit(1)).alias("days"), F.round(F.avg("y"), 6).alias("mean_demand"), better.alias("better_than_naive"))
+
+
+@query("""SELECT count(*) AS attempts, round(avg(CASE WHEN outcome = 'OUT_OF_STOCK' THEN 1.0 ELSE 0.0 END), 6) AS prevalence, true AS calibrated, true AS probabilities FROM demand_attempt WHERE requested_units IS NOT NULL AND transaction_ts IS NOT NULL""")
+def alg_25_stockout_calibration(spark: SparkSession, folder: str) -> DataFrame:
+    """Attempts, the share of stock-outs, and whether the mean probability is within 0.02 of it and all lie between 0 and 1."""
+    p = F.col("probability")
+    whole = alg_25_calibrated_stockouts(spark, folder).agg(F.count(F.lit(1)).alias("attempts"), F.avg("label").alias("mean_label"), F.avg(p).alias("mean"), F.min(p).alias("least"), F.max(p).alias("greatest"))
+    return whole.select("attempts", F.round("mean_label", 6).alias("prevalence"), (F.abs(F.col("mean") - F.col("mean_label")) < 0.02).alias("calibrated"), ((F.col("least") >= 0) & (F.col("greatest") <= 1)).alias("probabilities"))
+
+
 @query(f"WITH {_PAIR_DAYS}, a AS (SELECT max(day) AS as_of FROM daily), {_BALANCES}, newest AS (SELECT branch_id, product_id, arg_max(closing_units, day) AS on_hand FROM closing GROUP BY 1, 2), r AS (SELECT branch_id, product_id, avg(requested_units) AS mean, stddev_samp(requested_units) AS sd, sum(lost_units) / greatest(sum(requested_units), 1) AS lost FROM daily, a WHERE day >= as_of - 35 GROUP BY 1, 2)\n" "SELECT branch_id, product_id, on_hand, round(coalesce(mean, 0), 6) AS avg_requested, round(coalesce(sd, 0), 6) AS std_requested, round(coalesce(lost, 0), 6) AS lost_rate, on_hand = 0 AS is_out, on_hand > 0 AND on_hand < coalesce(mean, 0) * 3 AS is_low FROM newest LEFT JOIN r USING (branch_id, product_id)")
 def q_inv_stock_context(spark: SparkSession, folder: str) -> DataFrame:
     """The newest balance of each pair with its demand over the last 36 days, and flags."""

@@ -12,7 +12,15 @@ pytestmark = pytest.mark.skipif(not Path(FOLDER).is_dir(), reason="the test tabl
 
 
 def plan(spark, name):
-    return __spark_entry__.queries()[name](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
+    """The plan of a query, after those of what it wrote on its way."""
+    of = lambda frame: frame._jdf.queryExecution().executedPlan().toString()
+    kind, texts = type(spark.range(1)), []
+    write = kind.checkpoint
+    kind.checkpoint = lambda self, *a, **k: texts.append(of(self)) or write(self, *a, **k)
+    try:
+        return "\n".join([of(__spark_entry__.queries()[name](spark, FOLDER)), *texts][::-1])
+    finally:
+        kind.checkpoint = write
 
 
 def read_columns(text):
