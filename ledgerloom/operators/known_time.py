@@ -5,10 +5,13 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Most history rows in one forest, hence in a broadcast or a shard: about 18 levels of 12 bytes a row, 55 MB.
+from ..session import cut
+from .running import along
+
+#: Most history rows in one forest, hence in a broadcast, a shard or a stretch: about 18 levels of 12 bytes a row, 55 MB.
 FOREST_ROWS = 250_000
 #: Most events a task takes at once where shards are paired with events.
 EVENTS_A_GROUP = 500_000
@@ -117,6 +120,37 @@ def _matched(forest: Forest, events: pa.RecordBatch | pa.Table) -> pa.Table:
     return pa.table({"event": _column(events, "event").take(pa.array(rows)), "observation": forest.ids.take(pa.array(found[rows]))})
 
 
+def _split(asked: DataFrame, told: DataFrame, shards: int, forest_rows: int) -> tuple[DataFrame, DataFrame]:
+    """Events and observations with ``shard`` and ``stretch``, in which an event finds all observations it may need.
+
+    An entity with more than ``forest_rows`` observations is cut into stretches of the time from which they can be used,
+    the later of valid and known time. Of those usable from the same moment only the greatest can ever be found. An event
+    needs the stretch of its moment and, from all before, the greatest observation, which is carried into the stretch.
+    """
+    shard = F.pmod(F.xxhash64("entity"), F.lit(shards)).cast("long")
+    # at most one row for each forest_rows observations
+    hot = cut(told.groupBy("entity").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > forest_rows).select("entity"))
+    if not hot.count():
+        flat = lambda rows: rows.withColumns({"shard": shard, "stretch": F.lit(0).cast("long")})
+        return flat(asked), flat(told)
+    own = F.xxhash64("entity")
+    greatest = F.max(F.struct("valid", "known", "observation")).alias("best")
+    best = told.join(F.broadcast(hot), "entity").groupBy("entity", F.greatest("valid", "known").alias("since")).agg(greatest)
+    line = cut(along(best, ["entity"], ["since"], {"place": F.lit(1).cast("long")}).withColumn("stretch", F.floor((F.col("place") - 1) / forest_rows) + 1))
+    tops = line.groupBy("entity", "stretch").agg(F.max("best").alias("best"), F.min("since").alias("begins"))
+    so_far = Window.partitionBy("entity").orderBy("stretch").rowsBetween(Window.unboundedPreceding, 0)
+    carried = tops.select("entity", F.max("best").over(so_far).alias("best"), (F.col("stretch") + 1).alias("stretch"))
+    flat = told.columns
+    stretched = line.select("entity", "best", "stretch").unionByName(carried).select("entity", "best.*", "stretch")
+    cold = told.join(F.broadcast(hot), "entity", "left_anti").select(*flat, shard.alias("shard"), F.lit(0).cast("long").alias("stretch"))
+    sharded = cold.unionByName(stretched.select(*flat, own.alias("shard"), "stretch"))
+    # the moments at which stretches begin: as many as there are stretches
+    begins = tops.groupBy("entity").agg(F.sort_array(F.collect_list("begins")).alias("begins"))
+    of = F.col("moment")
+    placed = asked.join(F.broadcast(begins), "entity", "left").withColumn("stretch", F.when(F.col("begins").isNull(), 0).otherwise(F.size(F.filter("begins", lambda b: b <= of))).cast("long"))
+    return placed.withColumn("shard", F.when(F.col("begins").isNull(), shard).otherwise(own)).drop("begins"), sharded
+
+
 def known_at(events: DataFrame, history: DataFrame, event_id: str, entity: str, moment: str, observation_id: str, value: str, valid_time: str, known_time: str, forest_rows: int = FOREST_ROWS, events_a_group: int = EVENTS_A_GROUP) -> DataFrame:
     """Pairs (``event_id``, ``observation_id``): each distinct event with the observation that held, and was known, at its moment.
 
@@ -125,8 +159,9 @@ def known_at(events: DataFrame, history: DataFrame, event_id: str, entity: str,
     or such an observation give no row; an event delivered again gives one. Empty tables give no rows.
 
     A history of at most ``forest_rows`` is broadcast as one forest, and events aren't shuffled for the search. A larger one
-    is cut into shards of about that size by entity; a shard's events are spread over as many groups as they need, each
-    beside a copy of its shard, so that a hot entity has many tasks. One entity's history must fit a shard's memory.
+    is cut into shards of about that size by entity, and an entity with more than that by the time from which observations
+    can be used (see _split); a shard's events are spread over as many groups as they need, each beside a copy of its shard,
+    so that a hot entity has many tasks.
     """
     asked = events.select(F.col(event_id).alias("event"), F.col(entity).alias("entity"), F.unix_micros(F.col(moment)).alias("moment")).dropna()
     told = history.filter(F.col(value).isNotNull()).select(F.col(entity).alias("entity"), F.unix_micros(F.col(valid_time)).alias("valid"), F.unix_micros(F.col(known_time)).alias("known"), F.col(observation_id).alias("observation")).dropna()
@@ -142,15 +177,15 @@ def known_at(events: DataFrame, history: DataFrame, event_id: str, entity: str,
 
         pairs = asked.mapInArrow(search, schema)
     else:
-        shards = -(-told.count() // forest_rows)
-        shard = F.pmod(F.xxhash64("entity"), F.lit(shards)).cast("int")
-        # as many rows as there are shards
-        loads = asked.groupBy(shard.alias("shard")).agg(F.ceil(F.count(F.lit(1)) / F.lit(events_a_group)).cast("int").alias("parts"))
-        spread = asked.withColumn("shard", shard).join(F.broadcast(loads), "shard").withColumn("part", F.pmod(F.xxhash64("event", "moment"), F.col("parts")).cast("int")).drop("parts")
-        copies = told.withColumn("shard", shard).join(F.broadcast(loads), "shard").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+        own = ["shard", "stretch"]
+        placed, sharded = _split(asked, told, -(-told.count() // forest_rows), forest_rows)
+        # as many rows as there are shards and stretches
+        loads = placed.groupBy(*own).agg(F.ceil(F.count(F.lit(1)) / F.lit(events_a_group)).cast("int").alias("parts"))
+        spread = placed.join(F.broadcast(loads), own).withColumn("part", F.pmod(F.xxhash64("event", "moment"), F.col("parts")).cast("int")).drop("parts")
+        copies = sharded.join(F.broadcast(loads), own).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
 
         def pair(left: pa.Table, right: pa.Table) -> pa.Table:
             return _matched(_forest(right), left)
 
-        pairs = spread.groupBy("shard", "part").cogroup(copies.groupBy("shard", "part")).applyInArrow(pair, schema)
+        pairs = spread.groupBy(*own, "part").cogroup(copies.groupBy(*own, "part")).applyInArrow(pair, schema)
     return pairs.distinct().select(F.col("event").alias(event_id), F.col("observation").alias(observation_id))

@@ -4,7 +4,9 @@ import random
 import numpy as np
 import pyarrow as pa
 
-from ledgerloom.operators.known_time import Forest, known_at
+from pyspark.sql import functions as F
+
+from ledgerloom.operators.known_time import Forest, _split, known_at
 
 T0 = dt.datetime(2025, 1, 1, tzinfo=dt.UTC)
 EVENTS = "event_id string, product string, ts timestamp, entity string, moment int"
@@ -51,6 +53,25 @@ def test_shards_with_hot_entities_give_the_same(spark, rows):
     assert rows(known_at(*frames(spark, events, history), *ARGS, forest_rows=20, events_a_group=60)) == brute(events, history)
 
 
+def test_an_entity_beyond_a_shard_is_cut_by_time(spark, rows):
+    for seed in (6, 7):
+        events, history = made(seed, products=2, observations=300, events=400)
+        history += [(f"late{i:03d}", "p1", 1.0, i % 40, 55) for i in range(60)]  # learned at one late moment
+        events += [(f"hot{i}", "p1", i % 70) for i in range(300)]
+        expected = brute(events, history)
+        assert rows(known_at(*frames(spark, events, history), *ARGS, forest_rows=15, events_a_group=50)) == expected
+
+
+def test_no_group_holds_more_history_than_a_forest(spark):
+    events, history = made(8, products=1, observations=400)
+    asked, told = frames(spark, events, history)
+    micros = lambda c: F.unix_micros(c)
+    asked = asked.select(F.col("event_id").alias("event"), F.col("product").alias("entity"), micros("ts").alias("moment")).dropna()
+    told = told.filter("price IS NOT NULL").select(F.col("product").alias("entity"), micros("observed").alias("valid"), micros("loaded").alias("known"), F.col("obs").alias("observation")).dropna()
+    _, sharded = _split(asked, told, 4, 10)
+    assert sharded.groupBy("shard", "stretch").count().agg(F.max("count")).first()[0] <= 11
+
+
 def test_ties_go_to_the_later_load_then_the_greater_id(spark, rows):
     history = [("a", "p", 1.0, 1, 5), ("b", "p", 1.0, 1, 6), ("c", "p", 1.0, 1, 6), ("d", "p", 1.0, 1, 9), ("e", "p", None, 3, 3)]
     assert rows(known_at(*frames(spark, [("x", "p", 6), ("y", "p", 9), ("z", "p", 4), ("x", "p", 6)], history), *ARGS)) == [("x", "c"), ("y", "d")]
