@@ -29,11 +29,15 @@ def mart_product_daily_performance(spark: SparkSession, folder: str) -> DataFram
     """Demand and sales of each product and day (inferred); both sides folded to the grain before they meet."""
     own = ["day", "product_id"]
     asked = table(spark, folder, "demand_attempt").filter("product_id IS NOT NULL AND transaction_ts IS NOT NULL").groupBy(utc_day("transaction_ts").alias("day"), "product_id").agg(F.sum("requested_units").alias("requested"), F.sum("fulfilled_units").alias("fulfilled"), F.sum("lost_units").alias("lost"), F.count_if(F.col("outcome") == "OUT_OF_STOCK").alias("stockouts"))
-    lines = table(spark, folder, "sale_line").filter("product_id IS NOT NULL").select("sale_id", "product_id", "quantity", "net_sales_egp", "gross_profit_egp").join(_one_sale(spark, folder), "sale_id")
-    sold = lines.groupBy(*own).agg(F.count_distinct("sale_id").alias("transactions"), F.count_distinct("branch_id").alias("selling_branches"), F.sum("quantity").alias("units_sold"), F.sum("net_sales_egp").alias("net_sales"), F.sum("gross_profit_egp").alias("gross_profit"))
+    # one row a sale and product, then one a branch: distinct sales and branches become plain counts
+    sums = {"units_sold": "quantity", "net_sales": "net_sales_egp", "gross_profit": "gross_profit_egp"}
+    lines = table(spark, folder, "sale_line").filter("product_id IS NOT NULL").groupBy("sale_id", "product_id").agg(*[F.sum(c).alias(n) for n, c in sums.items()])
+    again = [F.sum(n).alias(n) for n in sums]
+    by_branch = lines.join(_one_sale(spark, folder), "sale_id").groupBy(*own, "branch_id").agg(F.count(F.lit(1)).alias("transactions"), *again)
+    sold = by_branch.groupBy(*own).agg(F.sum("transactions").alias("transactions"), F.count("branch_id").alias("selling_branches"), *again)
     fill = rate(F.col("fulfilled"), F.col("requested"))
     counts = ["requested", "fulfilled", "lost", "stockouts", "transactions", "selling_branches", "units_sold"]
-    money = [F.coalesce(c, F.lit(0).cast("decimal(26,2)")).alias(c) for c in ("net_sales", "gross_profit")]
+    money = [F.coalesce(c, F.lit(0).cast("decimal(26,2)")).cast("decimal(26,2)").alias(c) for c in ("net_sales", "gross_profit")]
     return asked.join(sold, own, "full").select(F.col("day").cast("string").alias("day"), "product_id", *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in counts], fill.alias("fill_rate"), *money)
 
 
