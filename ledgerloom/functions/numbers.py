@@ -48,6 +48,10 @@ def normal_cdf(value: Column) -> Column:
     return 0.5 * (1.0 + F.signum(value) * erf)
 
 
+#: Steps of days to expiry and what lies beyond them.
+EXPIRY = ([(30, "00_30"), (60, "31_60"), (90, "61_90"), (180, "91_180"), (365, "181_365")], "366_plus")
+
+
 def ladder(value: Column, steps: list[tuple[float, str]], beyond: str, strict: bool = False) -> Column:
     """The label of the first step that a value isn't above (``strict``: is under), or ``beyond``; null for null."""
     label = F.when(value.isNotNull(), beyond)

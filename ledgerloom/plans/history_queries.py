@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.numbers import floored_ratio, rate
-from ..operators.sampling import within_budget
+from ..functions.numbers import EXPIRY, floored_ratio, ladder, rate
+from ..operators.sampling import top_of_each, within_budget
 from ..operators.series import ahead, back, forward_filled
 from ..registry import ORACLES, query
 from ..session import table
 from .feature_queries import _closing
-from .mart_queries import _field, _payloads, mart_product_daily_performance
+from .mart_queries import _EVENTS, _field, _payloads, mart_product_daily_performance
 from .relational_queries import _ORDERS, jn_15_latest_supplier
 from .serving_queries import _COMPLETE, _trend_days, branch_daily
 from .warehouse_queries import _POSITION, _SUPPLY, _position, _supply
@@ -160,3 +160,30 @@ def wn_17_ranked_evidence(spark: SparkSession, folder: str) -> DataFrame:
     pairs = _pairs(spark, folder).groupBy("branch_id", "product_id").agg(F.round(F.avg("stockout_today"), 6).alias("stockout_rate"), F.sum("lost").alias("lost"))
     order = Window.partitionBy("branch_id").orderBy(F.col("stockout_rate").desc_nulls_last(), F.col("lost").desc_nulls_last(), "product_id")
     return pairs.withColumn("evidence_rank", F.row_number().over(order).cast("long"))
+
+
+_LOTS = f"""{_PAIRS}, a AS (SELECT max(day) AS as_of FROM pd), recent AS (SELECT branch_id, product_id, avg(fulfilled) AS sold, avg(requested) AS mean, stddev_samp(requested) AS sd FROM pd, a WHERE day >= as_of - 35 GROUP BY 1, 2),
+lots AS (SELECT lot_id, min(branch_id) AS branch_id, min(product_id) AS product_id, min(day) AS received_on, max(units) AS units FROM (SELECT payload->>'$.movement_id' AS lot_id, branch_id, product_id, (moment AT TIME ZONE 'UTC')::DATE AS day, TRY_CAST(payload->>'$.quantity' AS BIGINT) AS units FROM ok WHERE event_type = 'restock.applied' AND moment IS NOT NULL) WHERE lot_id IS NOT NULL GROUP BY 1),
+lot_features AS (SELECT lot_id, l.branch_id, l.product_id, a.as_of - received_on AS age_days, units, round(coalesce(sold, 0), 6) AS avg_sold, round(coalesce(mean, 0), 6) AS avg_requested, round(coalesce(sd, 0), 6) AS stddev_requested, round(units / greatest(coalesce(sold, 0), 0.1), 6) AS cover_days,
+  CASE WHEN a.as_of - received_on <= 30 THEN '00_30' WHEN a.as_of - received_on <= 60 THEN '31_60' WHEN a.as_of - received_on <= 90 THEN '61_90' WHEN a.as_of - received_on <= 180 THEN '91_180' WHEN a.as_of - received_on <= 365 THEN '181_365' ELSE '366_plus' END AS age_step FROM lots AS l CROSS JOIN a LEFT JOIN recent AS r ON r.branch_id = l.branch_id AND r.product_id = l.product_id WHERE units > 0)"""
+
+
+@query(f"WITH {_EVENTS}, {_LOTS} SELECT * FROM lot_features")
+def q_oexp_lot_features(spark: SparkSession, folder: str) -> DataFrame:
+    """Each lot that a restock brought: its age, units, the recent demand of its pair, and the days it covers. No table has lots' expiry, so age stands for it."""
+    own = ["branch_id", "product_id"]
+    daily = _pairs(spark, folder)
+    last = daily.agg(F.max("day").alias("as_of"))  # one row
+    recent = daily.join(F.broadcast(last), F.col("day") >= F.date_sub("as_of", 35)).groupBy(*own).agg(F.avg("fulfilled").alias("sold"), F.avg("requested").alias("mean"), F.stddev_samp("requested").alias("sd"))
+    restocks = _payloads(spark, folder, "restock.applied").filter("moment IS NOT NULL").groupBy(_field("movement_id").alias("lot_id"))
+    lots = restocks.agg(F.min(_field("branch_id")).alias("branch_id"), F.min(_field("product_id")).alias("product_id"), F.min("day").alias("received_on"), F.max(_field("quantity").try_cast("long")).alias("units")).filter("lot_id IS NOT NULL AND units > 0")
+    joined = lots.join(F.broadcast(last)).join(recent, own, "left").withColumn("age_days", F.datediff("as_of", "received_on"))
+    number = lambda c: F.coalesce(F.col(c), F.lit(0.0))
+    figures = [F.round(number(c), 6).alias(n) for c, n in (("sold", "avg_sold"), ("mean", "avg_requested"), ("sd", "stddev_requested"))]
+    return joined.select("lot_id", *own, F.col("age_days").cast("long").alias("age_days"), "units", *figures, F.round(F.col("units") / F.greatest(number("sold"), F.lit(0.1)), 6).alias("cover_days"), ladder(F.col("age_days"), *EXPIRY).alias("age_step"))
+
+
+@query(f"WITH {_EVENTS}, {_LOTS} SELECT * EXCLUDE (k) FROM (SELECT *, row_number() OVER (PARTITION BY age_step ORDER BY md5(lot_id), lot_id) AS k FROM lot_features) WHERE k <= {-(-BUDGET // 6)}")
+def q_exp_lot_sample(spark: SparkSession, folder: str) -> DataFrame:
+    """Lots of every age step in hash order, at most a sixth of the budget of training rows each: a sampling operator."""
+    return top_of_each(q_oexp_lot_features(spark, folder), "age_step", [F.md5("lot_id"), F.col("lot_id")], -(-BUDGET // 6))

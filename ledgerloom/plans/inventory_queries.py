@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.fingerprints import blake2b_number, farm_fingerprint
 from ..functions.identity import uuid_bytes
-from ..functions.numbers import ladder
+from ..functions.numbers import EXPIRY, ladder
 from ..functions.temporal import zoned_moment
 from ..functions.text import casefolded, first_marker
 from ..operators.changes import decoded, topic_of_source
@@ -67,8 +67,7 @@ def arr_02_filtered_inputs(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "ingestion_run").filter("input_row_counts IS NOT NULL").select("run_id", kept.alias("inputs_kept"), (F.size(kept) > 0).alias("usable"))
 
 
-#: The steps of ladders and what lies beyond them: days to expiry (two ladders), prices, risk as a multiple of its threshold.
-EXPIRY = ([(30, "00_30"), (60, "31_60"), (90, "61_90"), (180, "91_180"), (365, "181_365")], "366_plus")
+#: The steps of ladders and what lies beyond them: days as shown, prices, risk as a multiple of its threshold.
 EXPIRY_SHOWN = ([(-1, "Expired"), (30, "0-30 days"), (90, "31-90 days"), (180, "91-180 days")], "180+ days")
 PRICES = ([(50, "0-50 EGP"), (200, "50-200 EGP"), (1000, "200-1000 EGP")], "1000+ EGP")
 SEVERITY = ([(2, "WATCH"), (4, "MEDIUM"), (8, "HIGH")], "CRITICAL")

@@ -223,3 +223,11 @@ def test_a_large_day_has_several_tasks(spark, tmp_path):
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
     assert len(list((tmp_path / "days/event_date=hot").glob("*.parquet"))) > 1
     assert spark.read.parquet(str(tmp_path / "days")).distinct().count() == 1000
+
+
+def test_a_database_is_read_in_parts_by_its_key(spark, rows):
+    url = "jdbc:derby:memory:parts;create=true"  # the database that comes with Spark
+    frame = spark.createDataFrame([(f"k{i % 37}", i) for i in range(200)], "code string, n int")
+    frame.write.jdbc(url, "counted", mode="overwrite")
+    read = readers.jdbc_by_hash(spark, url, "counted", '"code"', 3, hash_sql="length({key})")
+    assert read.rdd.getNumPartitions() == 3 and rows(read) == rows(frame)
