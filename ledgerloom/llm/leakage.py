@@ -20,8 +20,8 @@ PASSAGE = 12
 SHINGLE = 5
 #: MinHash functions of a signature.
 FUNCTIONS = 4
-#: Passages that are broadcast to the candidates: about 150 bytes each. More are joined by shuffle.
-BROADCAST_PASSAGES = 200_000
+#: Bytes of passages, their shingles and their items' ids that are broadcast to the candidates. More are joined by shuffle.
+BROADCAST_BYTES = 32_000_000
 #: Words of 64 bits in a sieve of signatures, from 2 KB to 64 MB; at 16 bits a key and two tests about one in 70 others passes.
 SIEVE_WORDS = (2**8, 2**23)
 #: Bytes of text whose words a task holds at once.
@@ -147,7 +147,7 @@ def shingles(text: Column, most: int = SHINGLE) -> Column:
     return F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(split) - q + 1), lambda i: F.array_join(F.slice(split, i, q), " ")))
 
 
-def leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", passage: int = PASSAGE, broadcast_passages: int = BROADCAST_PASSAGES, rows_a_task: int = ROWS_A_TASK) -> DataFrame:
+def leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", passage: int = PASSAGE, broadcast_bytes: int = BROADCAST_BYTES, rows_a_task: int = ROWS_A_TASK) -> DataFrame:
     """(doc id, item id): each document with each item of which it holds ``passage`` consecutive words, or all of a shorter one.
 
     Case, punctuation, spacing, invisible characters and compatibility forms make no difference. Whole texts are searched,
@@ -157,7 +157,7 @@ def leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text:
     For each class, the windows of that size in the documents are searched for the MinHash signature of a query's word
     shingles: a window that contains them all has the same set, hence the same signature, so none is missed. Two sieves of
     bounded size (the first MinHash, then all FUNCTIONS) tell most other windows on the spot; what passes is joined with
-    the passages by class and signature (a broadcast up to ``broadcast_passages``, which are counted first, else a shuffle in
+    the passages by class and signature (a broadcast up to ``broadcast_bytes``, which are added up first, else a shuffle in
     which a hot passage is spread over tasks), kept if it contains all shingles of the passage, and then only if it has the
     same words in order.
     Null and empty texts hold nothing, and items without a word are found nowhere; rows with a null id give none; repeated
@@ -170,8 +170,9 @@ def leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text:
     # one row a passage with the items that hold it, then one row a signature; passages of one signature have the same shingles
     held = _passages(asked, passage).groupBy("size_class", "first_hash", "signature", "passage").agg(F.collect_set("item_id").alias("items"))
     queries = cut(held.groupBy("size_class", "first_hash", "signature").agg(F.collect_list(F.struct("passage", shingles(F.col("passage")).alias("shingles"), "items")).alias("passages")))
-    classes = {r["size_class"]: r["n"] for r in queries.groupBy("size_class").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most ``passage`` rows
-    number = sum(classes.values())
+    weight = F.expr("aggregate(passages, 0L, (sum, p) -> sum + 100 + 5L * octet_length(p.passage) + 16L * size(p.items))")
+    classes = {r["size_class"]: (r["n"], r["bytes"]) for r in queries.groupBy("size_class").agg(F.count(F.lit(1)).alias("n"), F.sum(weight).alias("bytes")).collect()}  # at most ``passage`` rows
+    number = sum(n for n, _ in classes.values())
     shared = spark.sparkContext.broadcast((sorted(classes), _sieve(queries, "first_hash", number), _sieve(queries, "signature", number)))
 
     def search(batches):
@@ -182,7 +183,7 @@ def leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text:
 
     windows = read.mapInArrow(search, f"doc_id {kind}, size_class int, signature long, window string")
     on = ["size_class", "signature"]
-    if number <= broadcast_passages:
+    if sum(n for _, n in classes.values()) <= broadcast_bytes:
         candidates = windows.join(F.broadcast(queries.drop("first_hash")), on)
     else:
         windows = cut(windows)

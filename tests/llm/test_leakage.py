@@ -79,7 +79,7 @@ def test_passages_beyond_a_broadcast_and_hot_ones_give_the_same(spark, rows):
     docs += [(1000 + i, items[0][1]) for i in range(200)]  # an item that leaks everywhere
     expected = sorted(brute(docs, items), key=str)
     assert rows(leaks(*frames(spark, docs, items))) == expected
-    assert rows(leaks(*frames(spark, docs, items), broadcast_passages=0, rows_a_task=20)) == expected
+    assert rows(leaks(*frames(spark, docs, items), broadcast_bytes=0, rows_a_task=20)) == expected
 
 
 def test_passages_of_equal_shingles_are_told_apart(spark, rows):
@@ -120,8 +120,8 @@ def test_the_search_alone_finds_every_window_and_few_others():
 
 def test_documents_are_read_once_whatever_the_items(spark):
     docs, items = frames(spark, *random_case(6))
-    for most in (10**6, 0):
-        plan = leaks(docs, items, broadcast_passages=most)._jdf.queryExecution().executedPlan().toString()
+    for most in (10**8, 0):
+        plan = leaks(docs, items, broadcast_bytes=most)._jdf.queryExecution().executedPlan().toString()
         assert plan.count("MapInArrow") <= 1
 
 
