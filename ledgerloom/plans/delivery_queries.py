@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators import quality
 from ..operators.changes import reconciled
 from ..operators.ranking import ranked
 from ..registry import query
@@ -130,3 +131,40 @@ def stm_05_lost_records(spark: SparkSession, folder: str) -> DataFrame:
     """Partitions whose records are gone before they were taken."""
     found = at.gaps({"t": {"0": 10, "1": 10}}, {"t": {"0": 10, "1": 11}})
     return spark.createDataFrame([(t, int(p)) for t, p in found], "kafka_topic string, kafka_partition int")
+
+
+@query("""WITH k AS (SELECT min(branch_id) AS b FROM demand_attempt WHERE branch_id IS NOT NULL), p AS (SELECT b, (SELECT min(product_id) FROM demand_attempt, k WHERE branch_id = b) AS p FROM k)
+SELECT branch_id, product_id, count(*) AS attempts, sum(requested_units)::BIGINT AS requested, sum(lost_units)::BIGINT AS lost, epoch_us(max(transaction_ts)) AS last_micros FROM demand_attempt JOIN p ON branch_id = b AND product_id = p GROUP BY 1, 2""")
+def src_12_point_read(spark: SparkSession, folder: str) -> DataFrame:
+    """The figures of one pair, as a service asks for them: the first product of the first branch. Its key reaches the scan."""
+    attempts = table(spark, folder, "demand_attempt")
+    branch = attempts.agg(F.min("branch_id").alias("b")).first()["b"]
+    product = attempts.filter(F.col("branch_id") == branch).agg(F.min("product_id").alias("p")).first()["p"]
+    return point_read(attempts, {"branch_id": branch, "product_id": product}).groupBy("branch_id", "product_id").agg(F.count(F.lit(1)).alias("attempts"), F.sum("requested_units").alias("requested"), F.sum("lost_units").alias("lost"), F.unix_micros(F.max("transaction_ts")).alias("last_micros"))
+
+
+def point_read(rows: DataFrame, key: dict) -> DataFrame:
+    """The rows of one key; as equalities with values, which skip files and row groups. A null in the key matches nothing."""
+    for column, value in key.items():
+        rows = rows.filter(F.col(column) == F.lit(value))
+    return rows
+
+
+_INVARIANTS = {
+    "demand_attempt": {"units_add_up": "requested_units = fulfilled_units + lost_units", "units_not_negative": "requested_units >= 0 AND fulfilled_units >= 0 AND lost_units >= 0", "outcome_fits_units": "CASE outcome WHEN 'OUT_OF_STOCK' THEN fulfilled_units = 0 WHEN 'FULFILLED' THEN fulfilled_units > 0 ELSE fulfilled_units < requested_units END"},
+    "sale_header": {"net_is_gross_less_discount": "abs(gross_sales_egp - discount_amount_egp - net_sales_egp) <= 0.01", "made_after_the_sale": "created_at >= transaction_ts"},
+    "sale_line": {"quantity_positive": "quantity > 0", "selling_price_within_retail": "selling_unit_price_egp <= retail_unit_price_egp"},
+    "product_price_history": {"learned_after_seen": "loaded_at >= observed_at", "price_positive": "price_egp > 0"},
+    "pharmacy_branch": {"open_to_customers": "checkout_points >= 1", "known_place": "length(trim(governorate)) > 0"},
+    "ingestion_run": {"ends_after_its_start": "completed_at >= started_at"},
+}
+
+
+@query(" UNION ALL ".join(f"SELECT '{t}' AS table_name, '{n}' AS rule, count(*) FILTER (({r}) IS NOT TRUE) AS broken_rows FROM {t}" for t, rules in _INVARIANTS.items() for n, r in rules.items()))
+def alg_33_invariants(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows of each table that break what must hold in its domain, nulls included; one pass a table."""
+    united = None
+    for name, rules in _INVARIANTS.items():
+        own = quality.broken_rules(table(spark, folder, name), {n: F.expr(r) for n, r in rules.items()}).select(F.lit(name).alias("table_name"), "rule", "broken_rows")
+        united = own if united is None else united.unionByName(own)
+    return united
