@@ -51,11 +51,21 @@ class Rule:
     single_share: float | None = None  #: or one value in a greater share of its rows
 
 
-def value_counts(rows: DataFrame, rules: list[Rule], load: str | None = None) -> DataFrame:
-    """(load, column_name, value, row_count): rows by distinct value of each column, as text, nulls included."""
-    pairs = F.explode(F.array(*[F.struct(F.lit(r.column).alias("column_name"), F.col(r.column).cast("string").alias("value")) for r in rules]))
-    named = rows.select((F.col(load) if load else F.lit(None)).cast("string").alias("load"), pairs.alias("pair"))
-    return named.groupBy("load", "pair.column_name", "pair.value").agg(F.count(F.lit(1)).alias("row_count"))
+def _values(rules: list[Rule]) -> Column:
+    return F.explode(F.array(*[F.struct(F.lit(r.column).alias("column_name"), F.col(r.column).cast("string").alias("value")) for r in rules]))
+
+
+def loaded_values(rows: DataFrame, rules: list[Rule], load: str | None = None) -> DataFrame:
+    """(load, column_name, value): the values of the rules' columns, as text, nulls included, with their load."""
+    return rows.select((F.col(load) if load else F.lit(None)).cast("string").alias("load"), _values(rules).alias("pair")).select("load", "pair.*")
+
+
+def value_counts(rows: DataFrame, rules: list[Rule], load: str | None = None, *others: DataFrame) -> DataFrame:
+    """(load, column_name, value, row_count): rows by distinct value of each column; ``others`` are loaded_values() of more tables."""
+    named = loaded_values(rows, rules, load)
+    for other in others:
+        named = named.unionByName(other)
+    return named.groupBy("load", "column_name", "value").agg(F.count(F.lit(1)).alias("row_count"))
 
 
 def _per_rule(rules: list[Rule], make, otherwise: Column) -> Column:
@@ -273,28 +283,33 @@ def load_figures(values: DataFrame, rules: list[Rule]) -> DataFrame:
 
 
 def coverage(values: DataFrame) -> DataFrame:
-    """(column_name, load, sign, covered, share): rows of each load under each expression; null: nulls and exceptions."""
+    """(column_name, load, sign, covered, share, usual, place): rows of each load under each expression; null: nulls and exceptions.
+
+    ``share`` is of the load's rows, ``usual`` of the column's, ``place`` the load's among its column's, by label.
+    """
     covered = values.groupBy("column_name", "load", "sign").agg(F.sum("row_count").alias("covered"))
-    # one row a column, load and expression
-    return covered.withColumn("share", F.col("covered") / F.sum("covered").over(Window.partitionBy("column_name", "load")))
+    # one row a column and load
+    of_column = Window.partitionBy("of_column")
+    loads = covered.groupBy(F.col("column_name").alias("of_column"), F.col("load").alias("of_load")).agg(F.sum("covered").alias("in_load"))
+    loads = loads.withColumns({"in_column": F.sum("in_load").over(of_column), "place": F.row_number().over(of_column.orderBy("of_load"))})
+    joined = covered.join(F.broadcast(loads), (F.col("column_name") == F.col("of_column")) & F.col("load").eqNullSafe(F.col("of_load")))
+    usual = F.sum("covered").over(Window.partitionBy("column_name", "sign")) / F.col("in_column")
+    return joined.select("column_name", "load", "sign", "covered", (F.col("covered") / F.col("in_load")).alias("share"), usual.alias("usual"), "place")
 
 
 def _shifts(values: DataFrame) -> DataFrame:
     """Half the summed differences of coverage: from the load before and from the column as a whole."""
-    of_column, of_sign = Window.partitionBy("column_name"), Window.partitionBy("column_name", "sign")
-    each = coverage(values).withColumns({"usual": F.sum("covered").over(of_sign) / F.sum("covered").over(of_column), "place": F.dense_rank().over(of_column.orderBy("load"))})
-    in_order = of_sign.orderBy("place")
+    in_order = Window.partitionBy("column_name", "sign").orderBy("place")
     previous = F.when(F.lag("place").over(in_order) == F.col("place") - 1, F.lag("share").over(in_order))
     # an expression that a load lacks adds its share elsewhere: all those shares sum to 1
     gap = lambda other: (F.sum(F.abs(F.col("share") - other) - other) + 1) / 2
-    sums = each.withColumn("previous", F.coalesce(previous, F.lit(0.0))).groupBy(F.col("column_name").alias("shift_column"), "load", "place").agg(gap(F.col("previous")).alias("before"), gap(F.col("usual")).alias("shift_overall"))
+    sums = coverage(values).withColumn("previous", F.coalesce(previous, F.lit(0.0))).groupBy(F.col("column_name").alias("shift_column"), "load", "place").agg(gap(F.col("previous")).alias("before"), gap(F.col("usual")).alias("shift_overall"))
     return sums.select("shift_column", "load", F.when(F.col("place") > 1, F.col("before")).alias("shift_before"), "shift_overall")
 
 
 def keyed_values(rows: DataFrame, key: str, rules: list[Rule]) -> DataFrame:
     """(record_key, column_name, value): the values of the rules' columns by record."""
-    pairs = F.explode(F.array(*[F.struct(F.lit(r.column).alias("column_name"), F.col(r.column).cast("string").alias("value")) for r in rules]))
-    return rows.select(F.col(key).cast("string").alias("record_key"), pairs.alias("pair")).select("record_key", "pair.*")
+    return rows.select(F.col(key).cast("string").alias("record_key"), _values(rules).alias("pair")).select("record_key", "pair.*")
 
 
 def records_of(each: DataFrame, broken: DataFrame) -> DataFrame:

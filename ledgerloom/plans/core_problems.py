@@ -28,7 +28,7 @@ RULES = [*PRODUCT_RULES, *RUN_RULES]
 def _valued(spark: SparkSession, folder: str) -> DataFrame:
     """The judged values of all profiled columns; read several times, so written."""
     (first, _, rules, load), (second, _, others, no_load) = PROFILED
-    counts = cp.value_counts(table(spark, folder, first), rules, load).unionByName(cp.value_counts(table(spark, folder, second), others, no_load))
+    counts = cp.value_counts(table(spark, folder, first), rules, load, cp.loaded_values(table(spark, folder, second), others, no_load))
     return cut(cp.valued(counts, RULES))
 
 
