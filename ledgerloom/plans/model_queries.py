@@ -137,10 +137,12 @@ SELECT b.branch_id, b.governorate, coalesce(sales, 0) AS sales, net_sales, CASE
 def bi_v2_branch_measures(spark: SparkSession, folder: str) -> DataFrame:
     """Measures of each branch through SQL over the views; each fact is folded before it meets the dimension."""
     prefix = f"bi_{uuid.uuid4().hex[:12]}"
-    register_views(spark, folder, prefix)
+    names = register_views(spark, folder, prefix)
     star = spark.sql(f"""
         WITH s AS (SELECT branch_id, count(*) AS sales, sum(net_sales_egp) AS net_sales, sum(gross_profit_egp) AS profit FROM {prefix}_fact_sale WHERE upper(transaction_status) = 'COMPLETED' GROUP BY branch_id),
              d AS (SELECT branch_id, sum(requested_units) AS requested, sum(fulfilled_units) AS fulfilled, count_if(outcome = 'OUT_OF_STOCK') AS stockouts FROM {prefix}_fact_demand GROUP BY branch_id)
         SELECT branch_id, governorate, coalesce(sales, 0L) AS sales, net_sales, profit, coalesce(requested, 0L) AS requested, fulfilled, coalesce(stockouts, 0L) AS stockouts
         FROM {prefix}_dim_branch LEFT JOIN s USING (branch_id) LEFT JOIN d USING (branch_id)""")
+    for name in names:  # they are resolved by now
+        spark.catalog.dropTempView(name)
     return star.select("branch_id", "governorate", "sales", "net_sales", rate(F.col("profit"), F.col("net_sales")).alias("margin"), "requested", rate(F.col("fulfilled"), F.col("requested")).alias("fill_rate"), "stockouts")

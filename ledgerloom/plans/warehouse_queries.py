@@ -427,4 +427,7 @@ def bi_v10_serving_views(spark: SparkSession, folder: str) -> DataFrame:
     """The serving views with their rows, asked through SQL."""
     prefix = f"bi_{uuid.uuid4().hex[:12]}"
     register_serving(spark, folder, prefix)
-    return _united([spark.sql(f"SELECT '{name}' AS view_name, count(*) AS rows FROM {prefix}_{name}") for name in ALIASES])
+    counted = _united([spark.sql(f"SELECT '{name}' AS view_name, count(*) AS rows FROM {prefix}_{name}") for name in ALIASES])
+    for name in ALIASES:  # they are resolved by now
+        spark.catalog.dropTempView(f"{prefix}_{name}")
+    return counted
