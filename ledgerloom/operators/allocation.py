@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
 from .running import along
 
 
@@ -47,11 +48,15 @@ def largest_remainder(weights: DataFrame, key: str, weight: str, total: int, lea
     a group without positive weight shares out only ``least``.
     """
     group = group or []
-    of = Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))
-    clean = weights.withColumn("w", F.greatest(F.coalesce(F.col(weight).cast("double"), F.lit(0.0)), F.lit(0.0)))
-    rest = F.lit(total) - F.lit(least) * F.count(F.lit(1)).over(of)
-    raw = clean.withColumn("raw", F.coalesce(F.try_divide(rest * F.col("w"), F.sum("w").over(of)), F.lit(0.0)))
-    floors = raw.withColumn("floor", F.floor("raw")).withColumn("left", F.when(F.sum("w").over(of) > 0, rest - F.sum(F.floor("raw")).over(of)).otherwise(0))
-    rank = F.row_number().over(of.orderBy((F.col("raw") - F.col("floor")).desc(), F.col(key).desc()))
-    share = F.lit(least) + F.col("floor") + F.when(rank <= F.col("left"), 1).otherwise(0)
-    return floors.select(*group, key, share.cast("long").alias("share"))
+    with_sums = lambda rows, sums: rows.join(sums if group else F.broadcast(sums), group) if group else rows.join(F.broadcast(sums))  # noqa: E731  one row without a group
+    # a null group is a group: it can't be joined by equality
+    named = weights.select(*[F.struct(g).alias(g) for g in group], F.col(key).alias(key), F.greatest(F.coalesce(F.col(weight).cast("double"), F.lit(0.0)), F.lit(0.0)).alias("w"))
+    sums = named.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), F.sum("w").alias("all_w"))
+    rest = F.lit(total) - F.lit(least) * F.col("n")
+    raw = cut(with_sums(named, sums).withColumn("raw", F.coalesce(F.try_divide(rest * F.col("w"), F.col("all_w")), F.lit(0.0))).withColumn("floor", F.floor("raw")))
+    floors = raw.groupBy(*group).agg(F.sum("floor").alias("all_floors"))
+    left = F.when(F.col("all_w") > 0, rest - F.col("all_floors")).otherwise(0)
+    # places along a sort, so that no group has to fit a task
+    placed = along(with_sums(raw, floors), group, [(F.col("raw") - F.col("floor")).desc(), F.col(key).desc()], {"place": F.lit(1).cast("long")})
+    share = F.lit(least) + F.col("floor") + F.when(F.col("place") <= left, 1).otherwise(0)
+    return placed.select(*[F.col(g)[g].alias(g) for g in group], key, share.cast("long").alias("share"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..session import cut
 
 
-def along(rows: DataFrame, keys: list[str], order: list[str], totals: dict[str, Column] | None = None, previous: dict[str, Column] | None = None) -> DataFrame:
+def along(rows: DataFrame, keys: list[str], order: list[str | Column], totals: dict[str, Column] | None = None, previous: dict[str, Column] | None = None) -> DataFrame:
     """``rows`` with running totals (this row included) and values of the row before, per key by ``order``.
 
     One sort by keys and order, range-partitioned, so that a key with most rows lies in many partitions; it is written to the

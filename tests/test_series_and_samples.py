@@ -183,3 +183,13 @@ def test_requests_of_one_key_take_time_in_proportion(spark):
     seconds(2_000)
     small, large = seconds(20_000), seconds(160_000)
     assert large < 8 * small + 5
+
+
+def test_shares_of_groups_with_null_keys_and_ties(spark):
+    rows = [(None, "a", 1.0), (None, "b", 1.0), (None, "c", 1.0), ("x", "a", None), ("x", "b", -1.0), ("y", "a", 0.5)]
+    frame = spark.createDataFrame(rows, "g string, k string, w double")
+    found = {(r["g"], r["k"]): r["share"] for r in largest_remainder(frame, "k", "w", 10, 1, ["g"]).collect()}
+    assert found == {(None, "a"): 3, (None, "b"): 3, (None, "c"): 4, ("x", "a"): 1, ("x", "b"): 1, ("y", "a"): 10}
+    whole = largest_remainder(spark.range(1000).selectExpr("id AS k", "1.0D AS w"), "k", "w", 1500)
+    assert whole.selectExpr("sum(share)", "min(share)", "max(share)").first()[:] == (1500, 1, 2)
+    assert largest_remainder(frame.limit(0), "k", "w", 10).count() == 0
