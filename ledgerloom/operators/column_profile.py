@@ -264,7 +264,8 @@ def load_figures(values: DataFrame, rules: list[Rule]) -> DataFrame:
         F.sum(F.when(~F.col("conforms") & F.col("value").isNotNull(), F.col("row_count")).otherwise(0)).alias("nonconforming_rows"),
         F.max(F.when(F.col("value").isNotNull(), F.col("row_count")).otherwise(0)).alias("most_of_one"),
     )
-    # one row a column
+    # one row a column and load, read twice; and one a column
+    by_load = cut(by_load)
     middle = by_load.groupBy("column_name").agg(F.percentile("median", F.lit(0.5)).alias("middle"))
     share = lambda c: F.col(c) / F.col("rows")
     full = by_load.join(F.broadcast(middle), "column_name").withColumn("level", F.try_divide("median", "middle"))
@@ -287,7 +288,8 @@ def coverage(values: DataFrame) -> DataFrame:
 
     ``share`` is of the load's rows, ``usual`` of the column's, ``place`` the load's among its column's, by label.
     """
-    covered = values.groupBy("column_name", "load", "sign").agg(F.sum("row_count").alias("covered"))
+    # written: read for the loads' sums and again beside them
+    covered = cut(values.groupBy("column_name", "load", "sign").agg(F.sum("row_count").alias("covered")))
     # one row a column and load
     of_column = Window.partitionBy("of_column")
     loads = covered.groupBy(F.col("column_name").alias("of_column"), F.col("load").alias("of_load")).agg(F.sum("covered").alias("in_load"))
