@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators import event_builders as builders
 from ..operators import quality
 from ..operators.changes import reconciled
 from ..operators.ranking import ranked
@@ -168,3 +169,31 @@ def alg_33_invariants(spark: SparkSession, folder: str) -> DataFrame:
         own = quality.broken_rules(table(spark, folder, name), {n: F.expr(r) for n, r in rules.items()}).select(F.lit(name).alias("table_name"), "rule", "broken_rows")
         united = own if united is None else united.unionByName(own)
     return united
+
+
+_KINDS = {
+    "sale.units_fulfilled": ("demand_id", "fulfilled_quantity"), "inventory.quantity_changed": ("movement_id", None), "inventory.reorder_required": ("event_id", None),
+    "purchase_order.created": ("purchase_order_id", None), "goods_receipt.received": ("receipt_id", None), "restock.applied": ("movement_id", None),
+}
+_OWN_KEY = lambda key: "event_id" if key == "event_id" else f"payload->>'$.{key}'"
+_IDENTITY = lambda key: "event_id || (payload->>'$.product_id')" if key == "event_id" else _OWN_KEY(key)
+
+
+@query("WITH ok AS (SELECT * FROM bronze_event WHERE json_valid(payload)) " + " UNION ALL ".join(f"SELECT '{kind}' AS event_type, count(*) AS events, count(DISTINCT {_IDENTITY(key)}) AS identities, {'count(*)' if kind in ('inventory.quantity_changed', 'inventory.reorder_required', 'goods_receipt.received', 'restock.applied') else '0'} AS caused FROM ok WHERE event_type = '{kind}' AND {_OWN_KEY(key)} IS NOT NULL{f' AND TRY_CAST(payload->>{chr(39)}$.{units}{chr(39)} AS BIGINT) > 0' if units else ''}" for kind, (key, units) in _KINDS.items()))
+def alg_34_events_of_all_kinds(spark: SparkSession, folder: str) -> DataFrame:
+    """Events of all six kinds built anew from what their payloads say, with their identities and how many name a cause."""
+    field = lambda n: F.get_json_object("payload", f"$.{n}")
+    numbers = ["requested_quantity", "fulfilled_quantity", "lost_quantity", "quantity_delta", "on_hand_before", "on_hand_after", "inventory_version_after", "inventory_version", "available_quantity", "reorder_point", "target_stock_level", "recommended_reorder_quantity", "line_count", "ordered_units", "received_units"]
+    texts = ["movement_id", "basket_id", "branch_id", "product_id", "channel", "fulfillment_status", "purchase_order_id", "procurement_cycle_id", "supplier_id", "expected_delivery_on", "receipt_id"]
+    read = table(spark, folder, "bronze_event").filter(F.get_json_object("payload", "$").isNotNull())
+    rows = read.select("event_type", "event_id", F.col("occurred_at"), F.col("occurred_at").alias("ordered_at"), F.col("occurred_at").alias("received_at"), F.coalesce(field("demand_id"), field("reference_id"), F.col("event_id")).alias("demand_id"), *[field(t).alias(t) for t in texts], *[field(n).try_cast("long").alias(n) for n in numbers])
+    of = lambda kind, key: rows.filter((F.col("event_type") == kind) & F.col(key).isNotNull())
+    built = [
+        builders.sale_events(of("sale.units_fulfilled", "demand_id")), builders.sale_inventory_events(of("inventory.quantity_changed", "movement_id")), builders.reorder_events(of("inventory.reorder_required", "event_id").withColumn("movement_id", F.col("event_id"))),
+        builders.purchase_order_events(of("purchase_order.created", "purchase_order_id")), builders.receipt_events(of("goods_receipt.received", "receipt_id")), builders.restock_events(of("restock.applied", "movement_id")),
+    ]
+    counted = [events.groupBy("event_type").agg(F.count(F.lit(1)).alias("events"), F.count_distinct("event_id").alias("identities"), F.count("causation_id").alias("caused")) for events in built]
+    united = counted[0]
+    for part in counted[1:]:
+        united = united.unionByName(part)
+    return united
