@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerloom.operators.spread import _sieve, spread_join
+from ledgerloom.operators.spread import _sieve, parted, spread_join
 
 
 @pytest.mark.parametrize("rare", [False, True])
@@ -30,3 +30,13 @@ def test_the_sieve_drops_rows_before_the_shuffle_and_never_a_partner(spark):
     test, sieve = _sieve(one, ["k"], 2062)
     passed = spark.sql(f"SELECT count(*) AS n FROM {{many}} WHERE {test}", many=many, sieve=sieve).first()["n"]
     assert 2062 <= passed < 5000
+
+
+def test_parted_rows_are_all_rows_and_keep_partners_near(spark, rows):
+    many = spark.range(5000).select((F.col("id") % 1000).cast("string").alias("k"), F.col("id").alias("i")).unionByName(spark.createDataFrame([(None, -1)], "k string, i long"))
+    one = spark.range(0, 1000, 50).select(F.col("id").cast("string").alias("k"), F.lit(5).alias("w"))
+    near, far = parted(many, one, ["k"])
+    assert rows(near.unionByName(far)) == rows(many)
+    assert far.join(one, "k").count() == 0 and near.join(one, "k").count() == 100 and near.count() < 400
+    near, far = parted(many, one.limit(0), ["k"])
+    assert near.count() == 0 and far.count() == 5001
