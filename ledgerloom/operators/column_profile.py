@@ -196,7 +196,11 @@ def valued(counts: DataFrame, rules: list[Rule], induced=_induced) -> DataFrame:
     checked exactly against the range and the pattern. A null value has no expression, conforms to none and breaks every
     rule. ``loads`` holds the rows in each load; there are as many entries as loads have the value.
     """
-    distinct = counts.groupBy("column_name", "value").agg(F.sum("row_count").alias("row_count"), F.collect_list(F.struct("load", "row_count")).alias("loads"))
+    # few bytes but many patterns a value: as many tasks as the session has partitions, not as few as its bytes need; a value
+    # has one row a load here, so none is hot
+    tasks = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = counts.repartition(tasks, "column_name", "value")
+    distinct = spread.groupBy("column_name", "value").agg(F.sum("row_count").alias("row_count"), F.collect_list(F.struct("load", "row_count")).alias("loads"))
     number = F.col("value").try_cast("decimal(38,6)")
     sign = F.coalesce("sign", F.lit(""))
 
