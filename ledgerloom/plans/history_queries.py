@@ -187,3 +187,15 @@ def q_oexp_lot_features(spark: SparkSession, folder: str) -> DataFrame:
 def q_exp_lot_sample(spark: SparkSession, folder: str) -> DataFrame:
     """Lots of every age step in hash order, at most a sixth of the budget of training rows each: a sampling operator."""
     return top_of_each(q_oexp_lot_features(spark, folder), "age_step", [F.md5("lot_id"), F.col("lot_id")], -(-BUDGET // 6))
+
+
+@query(f"""WITH {_EVENTS}, {_LOTS}, names AS (SELECT product_id, min(trade_name_en) AS trade_name_en, min(manufacturer) AS manufacturer FROM master_product GROUP BY 1)
+SELECT lot_id, f.branch_id, branch_code, governorate, f.product_id, trade_name_en, manufacturer, age_days, units, cover_days, CASE WHEN age_days <= 30 THEN '0-30 days' WHEN age_days <= 90 THEN '31-90 days' WHEN age_days <= 180 THEN '91-180 days' ELSE '180+ days' END AS shown_step
+FROM lot_features AS f LEFT JOIN pharmacy_branch AS b ON b.branch_id = f.branch_id LEFT JOIN names AS n ON n.product_id = f.product_id""")
+def bi_v9_lots_by_age(spark: SparkSession, folder: str) -> DataFrame:
+    """The snapshot of lots with names, by steps of age as they are shown; lots are folded before the dimensions meet them."""
+    branches = table(spark, folder, "pharmacy_branch").select("branch_id", "branch_code", "governorate")
+    names = table(spark, folder, "master_product").groupBy("product_id").agg(F.min("trade_name_en").alias("trade_name_en"), F.min("manufacturer").alias("manufacturer"))
+    lots = q_oexp_lot_features(spark, folder).select("lot_id", "branch_id", "product_id", "age_days", "units", "cover_days")
+    shown = ladder(F.col("age_days"), [(30, "0-30 days"), (90, "31-90 days"), (180, "91-180 days")], "180+ days")
+    return lots.join(branches, "branch_id", "left").join(names, "product_id", "left").withColumn("shown_step", shown)
