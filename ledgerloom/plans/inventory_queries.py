@@ -59,12 +59,12 @@ def str_07_first_markers(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "master_product").select("product_id", first_marker(F.col("manufacturer"), MARKERS).alias("marker"))
 
 
-@query("""SELECT run_id, list_filter(regexp_extract_all(input_row_counts, '"([a-z_]+)"', 1), lambda x: length(x) > 6) AS inputs_kept, len(list_filter(regexp_extract_all(input_row_counts, '"([a-z_]+)"', 1), lambda x: length(x) > 6)) > 0 AS usable FROM ingestion_run WHERE input_row_counts IS NOT NULL""")
+@query("""SELECT run_id, array_to_string(list_filter(regexp_extract_all(input_row_counts, '"([a-z_]+)"', 1), lambda x: length(x) > 6), ',') AS inputs_kept, len(list_filter(regexp_extract_all(input_row_counts, '"([a-z_]+)"', 1), lambda x: length(x) > 6)) > 0 AS usable FROM ingestion_run WHERE input_row_counts IS NOT NULL""")
 def arr_02_filtered_inputs(spark: SparkSession, folder: str) -> DataFrame:
     """The names of inputs longer than six letters of each run, and whether there are any."""
     named = F.regexp_extract_all("input_row_counts", F.lit('"([a-z_]+)"'), 1)
     kept = F.filter(named, lambda name: F.length(name) > 6)
-    return table(spark, folder, "ingestion_run").filter("input_row_counts IS NOT NULL").select("run_id", kept.alias("inputs_kept"), (F.size(kept) > 0).alias("usable"))
+    return table(spark, folder, "ingestion_run").filter("input_row_counts IS NOT NULL").select("run_id", F.array_join(kept, ",").alias("inputs_kept"), (F.size(kept) > 0).alias("usable"))
 
 
 #: The steps of ladders and what lies beyond them: days as shown, prices, risk as a multiple of its threshold.

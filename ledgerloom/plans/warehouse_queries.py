@@ -383,7 +383,7 @@ def alg_32_master_snapshot(spark: SparkSession, folder: str) -> DataFrame:
         nameless = F.lit(False)
         for c in named:
             nameless = nameless | blank(c)
-        lacking = quality.orphans(table(spark, folder, "sale_header"), "branch_id", rows, key).agg(F.count(F.lit(1)).cast("int").alias("unknown_branches")) if key == "branch_id" else spark.range(1).select(F.lit(0).alias("unknown_branches"))
+        lacking = quality.orphans(table(spark, folder, "sale_header"), "branch_id", rows, key).agg(F.count(F.lit(1)).alias("unknown_branches")) if key == "branch_id" else spark.range(1).select(_zero().alias("unknown_branches"))
         figures = rows.agg(F.count(F.lit(1)).alias("rows"), F.count_if(blank(key)).alias("blank_keys"), (F.count(key) - F.count_distinct(key)).alias("repeated_keys"), F.count_if(nameless).alias("blank_names"))
         monetary = ", ".join(c for c in rows.columns if any(part in c for part in MONETARY))
         parts.append(figures.join(lacking).select(F.lit(name).alias("table_name"), "*", F.lit(monetary).alias("monetary_columns")))  # one row each

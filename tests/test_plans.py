@@ -61,3 +61,36 @@ def test_coverage_of_loads_is_compared_and_written(spark, monkeypatch):
     core_problems.p1_found(spark, FOLDER)
     (loads,) = [df for df in written if {"shift_before", "shift_overall", "out_of_order"} <= set(df.columns)]
     assert loads.count() and loads.filter("shift_overall IS NULL").count() == 0
+
+
+def written_and_last(spark, name):
+    """The plans of what a query wrote on its way, in order, and its last one."""
+    texts = []
+    kind = type(spark.range(1))
+    write = kind.checkpoint
+    kind.checkpoint = lambda self, *a, **k: texts.append(self._jdf.queryExecution().executedPlan().toString()) or write(self, *a, **k)
+    try:
+        last = __spark_entry__.queries()[name](spark, FOLDER)
+    finally:
+        kind.checkpoint = write
+    return [*texts, last._jdf.queryExecution().executedPlan().toString()]
+
+
+@pytest.mark.parametrize("name", ["p4_found", "p4_single_deliveries", "stm_10_event_dispositions"])
+def test_identifiers_are_counted_by_hash_before_anything_is_ranked(spark, name):
+    counted = written_and_last(spark, name)[0]
+    assert "FileScan" in counted and "HashAggregate" in counted and "SortAggregate" not in counted and "min(" not in counted
+
+
+def test_refused_records_come_from_one_scan_without_a_join(spark):
+    (only,) = written_and_last(spark, "p2_found")
+    assert only.count("FileScan") == 1 and "Join" not in only
+
+
+def test_totals_move_only_partial_sums(spark):
+    (only,) = written_and_last(spark, "p5_sales_totals")
+    assert only.count("Exchange hashpartitioning") == 2 and only.count("partial_sum") >= 2
+
+
+def test_lots_are_shared_out_without_looking_ahead(spark):
+    assert not any("unboundedfollowing" in text.lower() for text in written_and_last(spark, "alg_01_requests_from_lots"))
