@@ -83,15 +83,16 @@ def meaning_hash() -> Column:
     return F.sha2(F.concat_ws("||", *[F.coalesce(F.col(p), F.lit("")) for p in parts]), 256)
 
 
-def sorted_out(valid: DataFrame, order: list[str]) -> DataFrame:
+def sorted_out(valid: DataFrame, order: list[str], among: DataFrame | None = None) -> DataFrame:
     """Valid events with ``meaning_sha256`` and ``disposition``: canonical, duplicate or conflict.
 
     An event_id with more than one meaning is a conflict, with all of its rows; else its first row by ``order`` (unique in
     the table) is canonical and the others are duplicates. Identifiers are counted first: events that are alone are
     canonical; only the meanings of repeated ones are compared and their rows ranked. Counts, firsts and meanings combine
-    on the map side, and a hot event_id is spread over tasks when its rows are looked up.
+    on the map side, and a hot event_id is spread over tasks when its rows are looked up. Where ``among`` is given, which
+    holds all rows of ``valid``, its identifiers are counted, so that nothing has to be validated for that.
     """
-    repeated = cut(valid.groupBy("event_id").agg(F.count(F.lit(1)).alias("copies")).filter("copies > 1"))
+    repeated = cut((valid if among is None else among).groupBy("event_id").agg(F.count(F.lit(1)).alias("copies")).filter("copies > 1"))
     near, far = parted(valid, repeated, ["event_id"])
     near = cut(spread_join(near, repeated.withColumn("several", F.lit(True)), ["event_id"], "copies", "left", written=True))
     alone = far.unionByName(near.filter("several IS NULL").drop("several")).withColumns({"meaning_sha256": meaning_hash(), "disposition": F.lit("canonical")})

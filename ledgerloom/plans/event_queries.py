@@ -51,7 +51,8 @@ def flt_04_valid_and_quarantined(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _sorted(spark: SparkSession, folder: str) -> DataFrame:
-    return sorted_out(validated(table(spark, folder, "bronze_event")).filter("validation_error IS NULL"), PLACE)
+    records = table(spark, folder, "bronze_event")
+    return sorted_out(validated(records).filter("validation_error IS NULL"), PLACE, records)
 
 
 @query(f"WITH {_SORTED} SELECT event_id, meaning_sha256, kafka_topic, kafka_partition, kafka_offset, disposition FROM sorted")
